@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from . import line_rules, sharding, site_lines
+from . import line_rules, merkle, packing, repeats, sentence_spans, sharding, site_lines, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_hilbert_packing": packing.op1_hilbert_packing,
         "op3_line_frequency": line_rules.op3_line_frequency,
+        "op4_run_length_index": repeats.op4_run_length_index,
+        "op5_sentence_spans": sentence_spans.op5_sentence_spans,
         "op6_site_spread": site_lines.op6_site_spread,
+        "op7_merkle": merkle.op7_merkle,
         "op8_virtual_slots": sharding.op8_virtual_slots,
+        "op9_elias_fano": token_store.op9_elias_fano,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_frequency": line_rules.OP3_SQL,
+        "op5_sentence_spans": sentence_spans.OP5_SQL,
         "op6_site_spread": site_lines.OP6_SQL,
     }
