@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_rules, merkle, packing, repeats, sentence_spans, sharding, site_lines, token_store
+from . import jaccard, line_rules, merkle, packing, repeats, sentence_spans, sharding, site_lines, token_store
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_merkle": merkle.op7_merkle,
         "op8_virtual_slots": sharding.op8_virtual_slots,
         "op9_elias_fano": token_store.op9_elias_fano,
+        "op10_count_vector_tree": jaccard.op10_count_vector_tree,
     }
 
 
