@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_rules, merkle, packing, repeats, sentence_spans, sharding, site_lines, token_store
+from . import jaccard, line_rules, merkle, packing, repeats, segmentations, sentence_spans, sharding, site_lines, token_store
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_packing": packing.op1_hilbert_packing,
+        "op2_gumbel_top_k": segmentations.op2_gumbel_top_k,
         "op3_line_frequency": line_rules.op3_line_frequency,
         "op4_run_length_index": repeats.op4_run_length_index,
         "op5_sentence_spans": sentence_spans.op5_sentence_spans,
