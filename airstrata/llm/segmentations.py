@@ -129,18 +129,18 @@ class Lattices:
             at, h = at[on], h[on]
         n_nodes = len(chars) + len(units)
         counts = np.zeros(n_nodes + 1, np.int64)
-        for where, _, _ in found:
+        for where, _, _ in found:  # a length has one edge a node at most
             counts[node[where] + 1] += 1
         self.first = np.cumsum(counts)
-        self.length, self.code, weight = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int64), np.empty(self.first[-1])
-        fill = self.first[:-1].copy()
+        n_edges = int(self.first[-1])
+        self.length, self.code, weight, target = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32), np.empty(n_edges), np.empty(n_edges, np.int32)
+        fill = self.first[node]
         for step, (where, code, w) in enumerate(found, 1):
-            place = fill[node[where]]
-            fill[node[where]] += 1
-            self.length[place], self.code[place], weight[place] = step, code, w
+            place = fill[where]
+            fill[where] += 1
+            self.length[place], self.code[place], weight[place], target[place] = step, code, w, node[where] + step
         # What can follow, from the ends backward, all units at once.
         rest, back = np.zeros(n_nodes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
-        owner = np.repeat(np.arange(n_nodes), np.diff(self.first))
         self.logq = weight
         by = np.argsort(back, kind="stable")
         cuts = np.searchsorted(back[by], np.arange(1, int(back.max(initial=0)) + 2))
@@ -148,21 +148,37 @@ class Lattices:
             own = node[by[a:b]]
             n = self.first[own + 1] - self.first[own]
             starts = np.cumsum(n) - n
-            edge = np.repeat(self.first[own] - starts, n) + np.arange(int(n.sum()))
-            total = weight[edge] + rest[owner[edge] + self.length[edge]]
+            edge = np.repeat(self.first[own] - starts, n)
+            edge += np.arange(len(edge))
+            total = weight[edge] + rest[target[edge]]
             most = np.maximum.reduceat(total, starts)
-            rest[own] = most + np.log(np.add.reduceat(np.exp(total - np.repeat(most, n)), starts))
-            self.logq[edge] = np.minimum(0.0, total - np.repeat(rest[own], n))
+            total -= np.repeat(most, n)
+            sums = np.log(np.add.reduceat(np.exp(total), starts))
+            rest[own] = most + sums
+            total -= np.repeat(sums, n)
+            self.logq[edge] = np.minimum(total, 0.0, out=total)
 
 
 _UNIT = re.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
 
-def gumbel(key: np.ndarray) -> np.ndarray:
-    """Standard Gumbel noise from 64-bit keys."""
-    key = (key ^ key >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    key = (key ^ key >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return -np.log(-np.log(((key ^ key >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54))
+#: Log-probability of prefixes below which open nodes are looked at only if need be, and a bound of the noise.
+_FAR, _NOISE = -110.0, 90.0
+
+
+def waiting(key: np.ndarray) -> np.ndarray:
+    """Exponential times with mean 1 from 64-bit keys; -log of them is standard Gumbel noise."""
+    key = key ^ key >> np.uint64(30)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(27)
+    key *= np.uint64(0x94D049BB133111EB)
+    key ^= key >> np.uint64(31)
+    key >>= np.uint64(11)
+    even = key.astype(np.float64)
+    even *= 2.0**-53
+    even += 2.0**-54
+    np.log(even, out=even)
+    return np.negative(even, out=even)
 
 
 def below(value: np.ndarray, noisy: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -190,96 +206,96 @@ class Search:
         self.end = np.array(ends, np.int64)
         self.start = np.concatenate([[0], self.end[:-1]])
         self.doc = np.repeat(np.arange(len(texts)), self.end - self.start)
-
-    def descend(self, docs: np.ndarray, unit: np.ndarray, place: np.ndarray, path: int):
-        """Follow the best child from each (unit, place) to the unit's end. Of every node met: its unit, the chosen
-        edge, and for all its edges the noisy log-probability, still without that of the prefix."""
-        first, length, logq = self.lattices.first, self.lattices.length, self.lattices.logq
-        out, step = [], 0
-        base = self.lattices.bases[self.unit[unit]]
+        self.mean = np.exp(-self.lattices.logq)
+        self.salt = self.lattices.length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+
+    def descend(self, unit: np.ndarray, place: np.ndarray, path: int):
+        """Follow the best child from each (unit, place) to the unit's end. Of every node met: its unit and place, the
+        chosen edge, where its edges' waiting times begin, and how many there are; and the times of all edges. Of
+        exponential times with the edges' probabilities as rates the least wins; -log of a time is Gumbel noise."""
+        first, length, mean, base = self.lattices.first, self.lattices.length, self.mean, self.lattices.bases[self.unit[unit]]
+        number = (unit - self.start[self.doc[unit]]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        number += self.seeds[self.doc[unit]] + np.uint64(path * 0x632BE59BD9B4E019 % 2**64)
+        out, held, done = [], [], 0
         while True:
-            node = base + place
-            lo, n = first[node], first[node + 1] - first[node]
-            on = n > 0
-            if not on.all():
-                unit, place, base, lo, n = unit[on], place[on], base[on], lo[on], n[on]
+            lo = first[base + place]
+            n = first[base + place + 1] - lo
+            on = np.flatnonzero(n)
+            if len(on) < len(n):
+                unit, place, base, lo, n, number = unit[on], place[on], base[on], lo[on], n[on], number[on]
             if not len(unit):
                 break
             starts = np.cumsum(n) - n
-            edge = np.repeat(lo - starts, n) + np.arange(int(n.sum()))
-            seed = self.seeds[self.doc[unit]] + (unit - self.start[self.doc[unit]]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(path * 0x632BE59BD9B4E019 % 2**64)
-            noisy = logq[edge] + gumbel(np.repeat(seed, n) + length[edge].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            most = np.maximum.reduceat(noisy, starts)
-            top = np.flatnonzero(noisy == np.repeat(most, n))
-            owner = np.repeat(np.arange(len(n)), n)
-            chosen = np.empty(len(n), np.int64)
-            chosen[owner[top]] = edge[top]
-            out.append((unit, np.full(len(unit), step), chosen, place, most, n, edge, noisy))
-            place, step = place + length[chosen], step + 1
-        return out
-
-    def paths(self) -> list[list[tuple[np.ndarray, float, float]]]:
-        """Of each text, its paths as (edges, log-probability, perturbed), and the threshold last."""
+            edge = np.repeat(lo - starts, n)
+            edge += np.arange(len(edge))
+            key = np.repeat(number + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n)
+            key += self.salt[edge]
+            time = waiting(key)
+            time *= mean[edge]
+            least = np.minimum.reduceat(time, starts)
+            top = np.flatnonzero(time == np.repeat(least, n))
+            chosen = edge[top]
+            if len(top) > len(n):  # a tie: the first
+                chosen = chosen[np.searchsorted(top, starts)]
+            out.append((unit, place, chosen, starts + done, n))
+            held.append(time)
+            done += len(time)
+            place = place + length[chosen]
+        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5, np.concatenate(held) if held else np.zeros(0)
+
+    def opened(self, nodes: np.ndarray, prefix: np.ndarray, value: float, chosen: np.ndarray, at: np.ndarray, n: np.ndarray, time: np.ndarray, keep: int):
+        """The `keep` best (value, node, edge) of the children not taken of some nodes of one text."""
+        starts = np.cumsum(n) - n
+        rep = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(rep)) - starts[rep]
+        edge = self.lattices.first[self.lattices.bases[self.unit[nodes[0]]] + nodes[1]][rep] + offset
+        noisy = prefix[rep] - np.log(time[at[rep] + offset])
+        most = np.maximum.reduceat(noisy, starts)[rep]
+        other = np.flatnonzero(edge != chosen[rep])
+        v = below(value, noisy[other], most[other])
+        top = np.argsort(-v, kind="stable")[:keep]
+        return [(float(v[t]), int(rep[other[t]]), int(edge[other[t]])) for t in top]
+
+    def paths(self) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+        """Of each text, its paths as (edges, log-probability, perturbed), and the threshold."""
         length, logq = self.lattices.length, self.lattices.logq
         n_docs = len(self.end)
         found: list[list] = [[] for _ in range(n_docs)]
-        open_: list[list] = [[] for _ in range(n_docs)]  # (-value, path, edge, place in the path, path left, its units, place after)
-        roots = gumbel(self.seeds * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
-        # (doc, value, edges of the prefix, units of the prefix, log-probability, unit and place to go on from)
+        open_: list[list] = [[] for _ in range(n_docs)]  # (-value, path, edge, node in the path, units of the path, place after)
+        roots = -np.log(waiting(self.seeds * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)))
+        # (text, value, edges of the prefix, units of the prefix, unit and place to go on from)
         todo = [(d, float(roots[d]), np.zeros(0, np.int64), np.zeros(0, np.int64), int(self.start[d]), 0) for d in range(n_docs)]
         for path in range(self.k):
-            docs = np.array([t[0] for t in todo], np.int64)
-            value = np.zeros(n_docs)
-            value[docs] = [t[1] for t in todo]
-            counts = np.array([self.end[t[0]] - t[4] for t in todo], np.int64)
-            unit = np.repeat(np.array([t[4] for t in todo], np.int64), counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = np.zeros(len(unit), np.int64)
+            begin, counts = np.array([t[4] for t in todo]), np.array([self.end[t[0]] - t[4] for t in todo])
             at = np.cumsum(counts) - counts
-            has = counts > 0
-            place[at[has]] = np.array([t[5] for t in todo], np.int64)[has]
-            nodes = self.descend(docs, unit, place, path)
-            if nodes:
-                u, step, chosen, node_place, most, n, edge, noisy = (np.concatenate(x) for x in zip(*nodes))
-                order = np.lexsort((step, u))
-                u, chosen = u[order], chosen[order]
-            else:
-                order = u = chosen = np.zeros(0, np.int64)
-                n = node_place = order
-                most = noisy = np.zeros(0)
-                edge = order
-            own = self.doc[u] if len(u) else np.zeros(0, np.int64)
-            lo, hi = np.searchsorted(own, docs), np.searchsorted(own, docs, "right")
-            prefix = np.zeros(len(u))  # log-probability of what comes before each node
-            heads = np.array([float(logq[t[2]].sum()) for t in todo])
-            run = np.cumsum(logq[chosen])
-            for i in range(len(todo)):
-                if hi[i] > lo[i]:
-                    prefix[lo[i] : hi[i]] = heads[i] + run[lo[i] : hi[i]] - logq[chosen[lo[i] : hi[i]]] - (run[lo[i] - 1] if lo[i] else 0.0)
-            # Values of the children not taken, in the nodes' first order.
-            node_prefix, node_doc, node_at = np.empty(len(u)), np.empty(len(u), np.int64), np.empty(len(u), np.int64)
-            node_prefix[order], node_doc[order], node_at[order] = prefix, own, np.arange(len(u))
-            rep = np.repeat(np.arange(len(n)), n)
-            other = np.flatnonzero(edge != np.repeat(np.concatenate([x[2] for x in nodes]) if nodes else chosen, n))
-            r = rep[other]
-            v = below(value[node_doc[r]], noisy[other] + node_prefix[r], most[r] + node_prefix[r])
-            by = np.argsort(node_doc[r], kind="stable")
-            other, r, v = other[by], r[by], v[by]
-            c_lo, c_hi = np.searchsorted(node_doc[r], docs), np.searchsorted(node_doc[r], docs, "right")
-            after = []
-            for i, (d, val, edges, units, _, _) in enumerate(todo):
-                full, full_units = np.concatenate([edges, chosen[lo[i] : hi[i]]]), np.concatenate([units, u[lo[i] : hi[i]]])
-                found[d].append((full, float(heads[i] + (logq[chosen[lo[i] : hi[i]]].sum() if hi[i] > lo[i] else 0.0)), val))
-                best = v[c_lo[i] : c_hi[i]]
-                keep = self.k + 1 - len(found[d])
-                top = np.argpartition(-best, keep - 1)[:keep] if keep < len(best) else np.arange(len(best))
-                for t in top.tolist():
-                    j = c_lo[i] + t
-                    heapq.heappush(open_[d], (-float(v[j]), path, int(edge[other[j]]), len(edges) + int(node_at[r[j]]) - int(lo[i]), len(found[d]) - 1, full_units, int(node_place[r[j]] + length[edge[other[j]]])))
+            unit = np.repeat(begin - at, counts) + np.arange(int(counts.sum()))
+            place, some = np.zeros(len(unit), np.int64), counts > 0
+            place[at[some]] = np.array([t[5] for t in todo])[some]
+            (u, places, chosen, starts, n), time = self.descend(unit, place, path)
+            order = np.argsort(u, kind="stable")  # steps of a unit are in order
+            u, places, chosen, starts, n = (x[order] for x in (u, places, chosen, starts, n))
+            own = self.doc[u] if len(u) else u
+            ids = np.array([t[0] for t in todo])
+            lo, hi = np.searchsorted(own, ids), np.searchsorted(own, ids, "right")
+            gained, after = logq[chosen], []
+            for (d, value, edges, units, _, _), a, b in zip(todo, lo.tolist(), hi.tolist()):
+                before = float(logq[edges].sum())
+                prefix = before + np.cumsum(gained[a:b]) - gained[a:b]
+                keep = self.k - len(found[d])
+                # What is open below an unlikely prefix is no better than the prefix and the largest noise; where that
+                # could still be among the best, all nodes count.
+                for reach in (np.searchsorted(-prefix, -_FAR), b - a):
+                    c = slice(a, a + int(reach))
+                    new = self.opened((u[c], places[c]), prefix[: int(reach)], value, chosen[c], starts[c], n[c], time, keep) if reach else []
+                    if reach == b - a or len(new) == keep and new[-1][0] > _FAR + _NOISE:
+                        break
+                full_units = np.concatenate([units, u[a:b]])
+                found[d].append((np.concatenate([edges, chosen[a:b]]), before + float(gained[a:b].sum()), value))
+                for v, node, e in new:
+                    heapq.heappush(open_[d], (-v, path, e, len(edges) + node, len(found[d]) - 1, full_units, int(places[a + node] + length[e])))
                 if path + 1 < self.k and open_[d]:
                     minus, _, e, p, which, of, then = heapq.heappop(open_[d])
-                    before = found[d][which][0]
-                    node_unit = int(of[p])
-                    after.append((d, -minus, np.append(before[:p], e), np.append(of[:p], node_unit), node_unit, then))
+                    after.append((d, -minus, np.append(found[d][which][0][:p], e), np.append(of[:p], of[p]), int(of[p]), then))
             todo = after
             if not todo:
                 break
