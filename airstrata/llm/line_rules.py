@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SQL_WS, WORD, WS, documents, lines, normal_line, sql_normal_line, whole, words
+from .common import SQL_WS, WORD, WS, documents, lines, normal_line, sql_normal_line, stage, whole, words
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed when more distinct texts of its host hold it than this count and this share of the host's texts.
@@ -108,7 +108,9 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """The documents that are kept, with their columns; frequent lines are taken out of their texts."""
     names = docs.columns
     named = {"key": key, "text": text, "host": host}
-    base = base_rules(docs, **named).where(~F.col("base_failed")).select("_host", "_text", "n_words").distinct()
+    # Written before it is filtered: a filter pushed into the counts would repeat their expressions.
+    base = stage(base_rules(docs, **named).select("_host", "_text", "n_words", "base_failed"), "base-rules")
+    base = base.where(~F.col("base_failed")).select("_host", "_text", "n_words").distinct()
     lost = removed_lines(docs, **named)
     left = F.col("n_words") - F.coalesce(F.col("lost_words"), F.lit(0))
     good = base.join(lost, ["_host", "_text"], "left").where((left >= MIN_LEFT) & (left >= MIN_LEFT_SHARE * F.col("n_words"))).select("_host", "_text", "lost_lines")
