@@ -138,11 +138,13 @@ class Bounds:
         return self.known[key]
 
 
-def cell_pairs(rows: list[tuple], percent: int, bounds: Bounds) -> list[tuple[int, int]]:
+def cell_pairs(token: int, rows: list[tuple], percent: int, bounds: Bounds) -> list[tuple[int, int]]:
     """Pairs of a cell that the bound lets through; rows are (id, size, point, side) or (id, size, point, side, label)
     in order of size and id. With no labels, only pairs that connect what is not yet connected; with labels, all
-    between different labels. With two sides, only pairs across them."""
+    between different labels, in the first of the open cells that a pair shares: rows are then (id, size, point, side,
+    label, the id's open cells in order). With two sides, only pairs across them."""
     forest, two, out = len(rows[0]) == 4, len({r[3] for r in rows}) == 2, []
+    open_cells = None if forest else [set(r[5]) for r in rows]
     part = np.arange(len(rows)) if forest else np.array([r[4] for r in rows])
     side = np.array([r[3] for r in rows])
 
@@ -152,6 +154,8 @@ def cell_pairs(rows: list[tuple], percent: int, bounds: Bounds) -> list[tuple[in
             _, first = np.unique(part[partners], return_index=True)
             partners = partners[np.sort(first)]
         for y in partners.tolist():
+            if not forest and next(c for c in rows[x][5] if c in open_cells[y]) != token:
+                continue
             out.append((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
             if forest:
                 part[part == part[x]] = part[y]
@@ -238,15 +242,16 @@ def signatures(docs: DataFrame, often: np.ndarray, words: int, percent: int) ->
 
 
 def search(cells: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """(token, a, b) of each unit (token, i, j) of `cells`: rows cid, n, point, side and, if labelled, label."""
-    names = ["token", "i", "j", "cid", "n", "point", "side", *["label"] * labelled]
+    """(token, a, b) of each unit (token, i, j) of `cells`: rows cid, n, point, side and, if labelled, label
+    and the class's open cells."""
+    names = ["token", "i", "j", "cid", "n", "point", "side", *["label", "open"] * labelled]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, out, bounds = None, [], [], Bounds(percent)
 
         def end() -> None:
             if len(rows) > 1:
-                out.extend((unit[0], a, b) for a, b in cell_pairs(rows, percent, bounds))
+                out.extend((unit[0], a, b) for a, b in cell_pairs(unit[0], rows, percent, bounds))
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["token", "a", "b"])
@@ -315,10 +320,12 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     open_ = cells.join(again, "token").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     open_ = stage(open_, "open")
     several = open_.groupBy("token").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("token")
-    open_ = open_.join(several, "token")
+    open_ = stage(open_.join(several, "token"), "open-several")
+    own = open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open"))
+    open_ = open_.join(own, "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = open_.select("*", other).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "point", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "label",
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "point", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "label", "open",
     )
     second = stage(search(units, percent, True).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
     more = stage(verified(second, class_texts(docs, one, second), words, percent).where("ok").select("a", "b"), "more")
