@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["observations"]
+MODULES: list[str] = ["observations", "fires", "feeds"]
 
 
 def queries() -> dict:
