@@ -1,11 +1,12 @@
 """Products of the streaming feed, checked against the same products in batch, and lookups of names."""
 
-from __future__ import annotations
+
 
 import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.exprs import rounded
 from ..sources.tables import sql, stations
@@ -25,7 +26,7 @@ def stream_dedupe(spark, sf_dir):
     return rows.groupBy("station").agg(F.count("*").alias("n"), rounded(F.max("pm25")).alias("peak"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b)])
 

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _marker(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def publish(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Write by partition, replacing only the partitions present. Rows of a partition meet in tasks by a shuffle that
-    Spark may split, so a large partition is several files rather than one task."""
-    df.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Write by partition, replacing only the partitions present, then the marker. Rows of a partition meet in tasks
+    by a shuffle that Spark may split, so a large partition is several files rather than one task."""
+    rows = df.hint("rebalance", F.col(partition))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    store, marker = _marker(df.sparkSession, path)
+    store.create(marker, True).close()
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """A published table; a folder whose write did not end has no success marker and is refused."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+    """A published table; a folder whose first write did not end has no success marker and is refused."""
+    store, marker = _marker(spark, path)
+    if not store.exists(marker):
         raise FileNotFoundError(f"{path} has no success marker")
     return spark.read.parquet(path)
 
