@@ -61,6 +61,22 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(low, WS_RUN, " "), "[0-9]+", "0")
 
 
+#: Runs of white space within a line that are not one blank already.
+_UNEVEN = r"\x20[\x20\x09\x0B-\x0D]+|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*"
+
+
+def normal_lines(text: Column) -> Column:
+    """The lines of a text as `normal_line` has them; the work is done on the text as a whole, which is faster."""
+    low = F.translate(text, UPPER, LOWER)
+    even = F.regexp_replace(F.regexp_replace(low, _UNEVEN, " "), "[0-9]+", "0")
+    return F.transform(F.split(even, "\n"), lambda x: F.btrim(x, F.lit(" ")))
+
+
+def blanks(line: Column) -> Column:
+    """Blanks in a normal line; it has a word more, unless it is empty."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 #: The same in DuckDB SQL, for the checks.
 SQL_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 

@@ -1,12 +1,12 @@
 """Line dedup by the spread over sites: lines that many distinct sites hold are boilerplate.
 
 HyperLogLog sketches of the sites, one for each line hash, merge by aggregation. A line whose estimate is near the
-threshold, within the sketch's error, gets an exact distinct count. A boilerplate line stays in the first document
+threshold, within the sketch's error, gets an exact distinct count. Lines of one site alone drop out before they are sketched. A boilerplate line stays in the first document
 that holds it (smallest key) and goes from all others, so that what copies of one document share is kept once.
 
 Cases: a null text has no lines; a null site is a site of its own; lines of fewer than `min_words` words are never
 boilerplate; repeated rows get equal results; an empty table gives an empty result; texts of any length are taken
-whole; other columns of the input are ignored or, in `clean`, kept.
+whole; other columns of the input are ignored or, in `deduped`, kept. Lines and sites are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SQL_WS, WORD, WS, WS_RUN, documents, lines, normal_line, sql_normal_line, whole
+from .common import SQL_WS, blanks, documents, lines, normal_line, normal_lines, sql_normal_line, stage, whole
 from .line_rules import host_of
 
 #: A line on this many sites or more is boilerplate.
@@ -26,11 +26,17 @@ LG_K, SIGMAS = 12, 4
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each line that can be boilerplate: line hash, site, key, text hash."""
-    df = docs.select(F.col(key).alias("_key"), host_of(site).alias("_site"), whole(text).alias("_t"))
-    df = df.select("_key", "_site", F.xxhash64("_t").alias("_text"), F.explode(lines(F.col("_t"))).alias("_l")).where(F.col("_l").rlike(WORD))
-    df = df.where(F.size(F.split(F.btrim("_l", F.lit(WS)), WS_RUN)) >= min_words)
-    return df.select("_key", "_site", "_text", F.xxhash64(normal_line(F.col("_l"))).alias("_line"))
+    """A row for each line that can be boilerplate: line hash, site hash, key, text hash."""
+    df = docs.select(F.col(key).alias("_key"), F.xxhash64(host_of(site)).alias("_site"), whole(text).alias("_t"))
+    df = df.select("_key", "_site", F.xxhash64("_t").alias("_text"), F.explode(normal_lines(F.col("_t"))).alias("_l"))
+    df = df.where((F.col("_l") != "") & (blanks(F.col("_l")) + 1 >= min_words))
+    return df.select("_key", "_site", "_text", F.xxhash64("_l").alias("_line"))
+
+
+def on_several_sites(held: DataFrame) -> DataFrame:
+    """The rows of lines that more than one site holds: most lines of a corpus need no sketch."""
+    several = held.groupBy("_line").agg((F.min("_site") != F.max("_site")).alias("_several")).where("_several").select("_line")
+    return stage(held.join(several, "_line", "left_semi"), "site-lines")
 
 
 def spread(held: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -50,9 +56,12 @@ def spread(held: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Dat
 
 def removed(docs: DataFrame, min_sites: int = MIN_SITES, **columns: str) -> DataFrame:
     """For each text that loses lines: how many, and their hashes."""
-    held = line_table(docs, **columns)
-    per_text = held.groupBy("_text", "_line", "_key").agg(F.count("*").alias("_n")).groupBy("_text", "_line").agg(F.min("_n").alias("_n"))
-    lost = per_text.join(spread(held, min_sites), "_line").where(F.col("_text") != F.col("_keeps"))
+    held = stage(line_table(docs, **columns), "lines")
+    if min_sites > 1:
+        held = on_several_sites(held)
+    over = stage(spread(held, min_sites), "wide-lines")
+    per_text = held.join(over, "_line").where(F.col("_text") != F.col("_keeps"))
+    lost = per_text.groupBy("_text", "_line", "_key").agg(F.count("*").alias("_n")).groupBy("_text", "_line").agg(F.min("_n").alias("_n"))
     return lost.groupBy("_text").agg(F.sum("_n").alias("n_removed"), F.sort_array(F.collect_set("_line")).alias("lost_lines"))
 
 
