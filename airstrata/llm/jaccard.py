@@ -42,28 +42,74 @@ MOST_FREQUENT, MOST_COUNTED = 100_000, 400_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
+class Words:
+    """Hashes of the words of byte strings, A-Z in lower case: a polynomial over a random number for each byte, from
+    running sums, so that all words of a block are hashed in a few array operations."""
+
+    def __init__(self, seed: int = 20240):
+        random = np.random.default_rng(seed)
+        self.codes = random.integers(1, 1 << 64, 256, np.uint64)
+        self.codes[ord("A") : ord("Z") + 1] = self.codes[ord("a") : ord("z") + 1]
+        self.base = random.integers(0, 1 << 61, dtype=np.uint64) * np.uint64(8) + np.uint64(5)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, 1 << 16)
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]), dtype=np.uint64)
+                self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.inverse)]), dtype=np.uint64)
+
+    def block(self, data: np.ndarray) -> np.ndarray:
+        """Of bytes that neither begin nor end within a word of the text."""
+        self.grow(len(data) + 1)
+        inside = np.concatenate([[False], ~self.blank[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.codes[data] * self.powers[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(29)
+
+    def __call__(self, text: bytes, at_once: int = 1 << 20) -> np.ndarray:
+        data, out, at = np.frombuffer(text, np.uint8), [], 0
+        while len(data) - at > at_once:
+            cut = at + at_once
+            while cut < len(data) and not self.blank[data[cut]]:
+                cut += 1
+            out.append(self.block(data[at:cut]))
+            at = cut
+        return np.concatenate([*out, self.block(data[at:])])
+
+
 class Shingler:
-    """Distinct shingle hashes of texts, sorted; words are hashed once."""
+    """Distinct shingle hashes of texts, sorted."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words, k = (text or "").encode().lower().split(), self.words
-        if len(words) <= k:
+        self.words, self.hashes = words, Words()
+
+    def all(self, text: str | None) -> np.ndarray:
+        """Shingle hashes in the order of the text, repeated ones too."""
+        data, k = (text or "").encode(), self.words
+        h = self.hashes(data)
+        if len(h) <= k:
+            words = data.lower().split()
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))] if words else [], np.uint64)
-        if len(self.known) > 1_000_000:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = len(h) - k + 1
         total = np.zeros(n, np.uint64)
         for i in range(k):
-            total += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(31))) * np.uint64(_MIX[i % len(_MIX)] + 2 * (i // len(_MIX)))
+            total += h[i : i + n] * np.uint64(_MIX[i % len(_MIX)] + 2 * (i // len(_MIX)))
         total ^= total >> np.uint64(32)
         total *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(total ^ total >> np.uint64(29))
+        return total ^ total >> np.uint64(29)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.unique(self.all(text))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -190,6 +236,8 @@ def frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, waiting, held = Shingler(words), {}, [], 0
+        # About where prefixes end: the part of all hashes that a prefix has.
+        cut = np.uint64((100 - percent) * (1 << 64) // 100)
 
         def take() -> None:
             values, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -204,8 +252,8 @@ def frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                own = shingles(text)
-                waiting.append(own[: prefix_size(len(own), percent)])
+                own = shingles.all(text)
+                waiting.append(np.unique(own[own <= cut]))
                 held += len(waiting[-1])
                 if held > 200_000:
                     take()
