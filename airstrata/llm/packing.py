@@ -1,9 +1,9 @@
 """Packing along a space-filling curve.
 
 Each document becomes a hashed vector of its byte trigrams, projected by fixed random signs to a few dimensions and
-squashed to a grid; its Hilbert key orders it. Documents are range-sorted by that key, encoded as they stream by, and
-their ids fill sequences one after another along the curve, so that neighbours share sequences and only the very last
-sequence is padded.
+squashed to a grid; its Hilbert key orders it. Documents are encoded in the same pass, their ids are range-sorted by
+that key and fill sequences one after another along the curve, so that neighbours share sequences and only the very
+last sequence is padded.
 
 Cases: a null text is empty and has the end id alone; equal keys are ordered by the text's hash, then by id, so that
 repeated rows spread over tasks; an empty table gives an empty result; a document of any length is cut at sequence
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage_path, whole
+from .common import documents, stage, stage_path, whole
 from .tokens import END_ID, encoder, slices, vocabulary_path
 
 SEQUENCE = 1024
@@ -31,22 +31,23 @@ ORDERED = "doc_id long, part int, local_start long, n_ids long, ids binary"
 
 
 def signs(dims: int = DIMS, buckets: int = BUCKETS, seed: int = 20240) -> np.ndarray:
-    """The projection: +1 or -1 for each bucket and dimension."""
-    return np.random.default_rng(seed).integers(0, 2, (dims, buckets)).astype(np.int8) * 2 - 1
+    """The projection: for each bucket a bit for each dimension, 21 bits apart, so that one sum adds up all of them."""
+    bits = np.random.default_rng(seed).integers(0, 2, (dims, buckets)).astype(np.uint64)
+    return sum(bits[d] << np.uint64(21 * d) for d in range(dims))
 
 
-def project(text: bytes, table: np.ndarray) -> np.ndarray:
-    """Mean sign over the hashed byte trigrams of a text, for each dimension; zeros for an empty text."""
+def project(text: bytes, table: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Mean sign over the hashed byte trigrams of a text, for each dimension; 1 for a bit, -1 for none."""
     b = np.frombuffer(text, np.uint8)
     if len(b) < 3:
         b = np.concatenate([b, np.zeros(3 - len(b), np.uint8)])
-    total = np.zeros(len(table), np.int64)
+    total = np.zeros(dims, np.int64)
     for at in range(0, len(b) - 2, 1 << 20):
         c = b[at : at + (1 << 20) + 2].astype(np.uint32)
         h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
-        counts = np.bincount(h, minlength=table.shape[1]) if len(h) > table.shape[1] else None
-        total += table.astype(np.int64) @ counts if counts is not None else table[:, h].sum(axis=1, dtype=np.int64)
-    return total / (len(b) - 2)
+        both = int(table[h].sum(dtype=np.uint64))
+        total += [both >> 21 * d & (1 << 21) - 1 for d in range(dims)]
+    return 2 * total / (len(b) - 2) - 1
 
 
 def hilbert_key(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,42 +79,45 @@ def hilbert_key(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def curve_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, curve): the documents with their places on the curve."""
+def curve_places(texts: list[str], table: np.ndarray) -> np.ndarray:
+    means = np.array([project(t.encode(), table) for t in texts]).reshape(-1, DIMS)
+    return hilbert_key(((np.tanh(means * STRETCH) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = signs()
-        for batch in batches:
-            if batch.num_rows:
-                means = np.array([project(t.encode(), table) for t in batch.column("text").to_pylist()])
-                grid = ((np.tanh(means * STRETCH) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hilbert_key(grid), pa.int64())], ["doc_id", "text", "curve"])
-
-    df = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).alias("text"))
-    return df.mapInArrow(place, "doc_id long, text string, curve long")
 
-
-def encoded_along_curve(placed: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Range-sort by the curve and write each document's ids with its place in its part."""
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, curve, h, n_ids, ids): the ids of each document and its place on the curve."""
     where = vocabulary or vocabulary_path()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, start = encoder(where), np.array([END_ID], "<u4").tobytes(), 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, table, end = encoder(where), signs(), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            own, parts, at = batch.column("doc_id").to_pylist(), batch.column("part"), 0
+            own, hashes, at = batch.column("doc_id"), batch.column("h"), 0
             for some in slices(batch.column("text").to_pylist()):
+                n = len(some)
                 codes = [c + end for c in enc.encode(some)]
-                sizes = np.array([len(c) // 4 for c in codes], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                start += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[at : at + len(codes)], pa.int64()), parts[at : at + len(codes)], pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([short(c) for c in codes], pa.binary())],
-                    ["doc_id", "part", "local_start", "n_ids", "ids"],
+                    [own[at : at + n], pa.array(curve_places(some, table), pa.int64()), hashes[at : at + n], pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([short(c) for c in codes], pa.binary())],
+                    ["doc_id", "curve", "h", "n_ids", "ids"],
                 )
-                at += len(codes)
+                at += n
+
+    df = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
+    return df.mapInArrow(rows, "doc_id long, curve long, h long, n_ids long, ids binary")
+
+
+def along_curve(rows: DataFrame, path: str) -> None:
+    """Range-sort by the curve and write each document's ids with its place in its part."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = 0
+        for batch in batches:
+            sizes = batch.column("n_ids").to_numpy()
+            starts = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(starts, pa.int64()), batch.column("n_ids"), batch.column("ids")], ["doc_id", "part", "local_start", "n_ids", "ids"])
 
-    df = placed.withColumn("h", F.xxhash64("text")).repartitionByRange("curve", "h", "doc_id").sortWithinPartitions("curve", "h", "doc_id")
-    df.withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part").mapInArrow(encode, ORDERED).write.option("compression", "zstd").parquet(path)
+    df = rows.repartitionByRange("curve", "h", "doc_id").sortWithinPartitions("curve", "h", "doc_id").withColumn("part", F.spark_partition_id())
+    df.select("doc_id", "part", "n_ids", "ids").mapInArrow(place, ORDERED).write.parquet(path)
 
 
 def short(code: bytes) -> bytes:
@@ -152,7 +156,8 @@ def packed(spark: SparkSession, path: str, length: int = SEQUENCE, with_ids: boo
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """Documents in sequences of `length` ids along the curve: a row for each piece, with its ids if asked for."""
     path = stage_path(docs.sparkSession, "curve")
-    encoded_along_curve(curve_keys(docs, key, text), path, vocabulary)
+    # Written before the sort, which reads its input twice: for the bounds of the ranges, and to deal it out.
+    along_curve(stage(encoded(docs, key, text, vocabulary), "encoded"), path)
     return packed(docs.sparkSession, path, length, with_ids)
 
 
