@@ -82,9 +82,9 @@ class RunLengthIndex:
     """A run-length compressed Burrows-Wheeler transform of a string of whole numbers, with sampled run ends.
 
     Symbols are below 2**16; the string ends in a symbol that is nowhere else, as does every part of it that matches
-    must not leave."""
+    must not leave. So ranks all differ in the end, and no tie is left to chance in the order of the suffixes."""
 
-    def __init__(self, symbols: np.ndarray, depth: int):
+    def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         s = symbols.astype(np.uint64)
         padded = np.concatenate([s + np.uint64(1), np.zeros(4, np.uint64)])
@@ -95,7 +95,7 @@ class RunLengthIndex:
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
             self.levels.append((have, rank))
-            if have >= depth or rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1:
                 break
             after = np.zeros(n, np.uint64)
             after[: n - have] = rank[have:].astype(np.uint64) + np.uint64(1)
@@ -118,9 +118,8 @@ class RunLengthIndex:
             q[same] += by
 
         for have, rank in reversed(self.levels):
-            for _ in range(2 if have == self.levels[-1][0] else 1):
-                inside = np.maximum(p, q) < self.n
-                step(have, inside & (rank[np.minimum(p, self.n - 1)] == rank[np.minimum(q, self.n - 1)]))
+            inside = np.maximum(p, q) < self.n
+            step(have, inside & (rank[np.minimum(p, self.n - 1)] == rank[np.minimum(q, self.n - 1)]))
         for _ in range(3):
             inside = np.maximum(p, q) < self.n
             step(1, inside & (self.symbols[np.minimum(p, self.n - 1)] == self.symbols[np.minimum(q, self.n - 1)]))
@@ -142,7 +141,7 @@ def matched(contexts: list[tuple[int, bytes, int]], chunk: int, size: int) -> li
     for i, (core, data, at) in enumerate(contexts):
         parts += [np.frombuffer(data, np.uint8, at).astype(np.uint16), np.array([cores[core]], np.uint16), np.frombuffer(data, np.uint8, -1, at + size).astype(np.uint16), np.array([256 + len(cores) + i], np.uint16)]
         lengths.append(at + 2 + len(data) - at - size)
-    stats = RunLengthIndex(np.concatenate(parts), chunk).matching_statistics() >= chunk
+    stats = RunLengthIndex(np.concatenate(parts)).matching_statistics() >= chunk
     ends = np.cumsum(lengths)
     hits = np.flatnonzero(stats)
     first, last = np.searchsorted(hits, ends - lengths), np.searchsorted(hits, ends) - 1

@@ -60,3 +60,40 @@ def test_characters_stay_whole():
         for b in range(a, len(data) + 1):
             repeats.without(data, repeats.whole_characters(data, [(a, b)])).decode()
     assert hashlib.sha256(repeats.without(b"abcdef", [(1, 3), (5, 6)])).digest() == hashlib.sha256(b"ade").digest()
+
+
+def edited_copies(seed, groups=5, copies=6):
+    """Groups of near copies that begin alike and are edited at different places."""
+    r = random.Random(seed)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(groups):
+        base = some(r.randint(900, 1500))
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(r.randint(1, 2)):
+                own[r.randrange(300, len(own))] = r.choice("XYZ")
+            texts.append("".join(own))
+    return texts
+
+
+def test_edited_copies_equal_brute_force_at_the_production_sizes(spark):
+    texts = edited_copies(7)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.key: [(s.a, s.b) for s in r.spans] for r in repeats.repeated_spans(docs, length=400, chunk=256).collect()}
+    for i, (t, mask) in enumerate(zip(texts, brute([t.encode() for t in texts], 400))):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]).astype(int)))
+        assert got.get(i, []) == list(zip(edges[::2].tolist(), edges[1::2].tolist())), i
+
+
+def test_index_has_the_longest_match_of_every_place():
+    r = np.random.default_rng(5)
+    for chunk in (8, 16):
+        shared, parts = r.integers(0, 3, 2 * chunk - 1), []
+        for i, n in enumerate(r.integers(chunk - 1, 2 * chunk, 40).tolist()):
+            parts += [shared[:n], [256 + i]]
+        s = np.concatenate(parts).astype(np.uint16)
+        places = [s[i:].tobytes() for i in range(len(s))]
+        common = lambda a, b: next((k for k in range(0, min(len(a), len(b)), 2) if a[k : k + 2] != b[k : k + 2]), min(len(a), len(b))) // 2
+        want = [max(common(a, b) for j, b in enumerate(places) if j != i) for i, a in enumerate(places)]
+        assert repeats.RunLengthIndex(s).matching_statistics().tolist() == want
