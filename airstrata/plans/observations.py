@@ -115,21 +115,31 @@ def band_counts(spark, sf_dir):
     return now.groupBy(category(index_of(F.col("pm25"), _points())).alias("category")).agg(F.count("*").alias("n"))
 
 
-def gapfill(spark, sf_dir):
-    hours = _hours(spark, sf_dir).where(f"hour between timestamp_ntz'{T0}' and timestamp_ntz'{T1}'")
-    return series.spine(hours, "station", T0, T1).join(hours, ["station", "hour"], "left").select("station", "hour", _r4("pm25"), F.coalesce("n", F.lit(0)).alias("n"))
+def _spine(hours, start, end):
+    """Every station with every hour from start to end; where start is None, of the readings' own first to last hour."""
+    if start is not None:
+        return series.spine(hours, "station", start, end)
+    ends = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    return hours.select("station").distinct().crossJoin(F.broadcast(ends)).select("station", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour"))  # ends: one row
 
 
-def reading_gaps(spark, sf_dir):
+def gapfill(spark, sf_dir, start=T0, end=T1):
     hours = _hours(spark, sf_dir)
-    gone = series.spine(hours, "station", T0, T1).join(hours, ["station", "hour"], "left_anti")
+    if start is not None:
+        hours = hours.where(f"hour between timestamp_ntz'{start}' and timestamp_ntz'{end}'")
+    return _spine(hours, start, end).join(hours, ["station", "hour"], "left").select("station", "hour", _r4("pm25"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def reading_gaps(spark, sf_dir, start=T0, end=T1):
+    hours = _hours(spark, sf_dir)
+    gone = _spine(hours, start, end).join(hours, ["station", "hour"], "left_anti")
     return gone.groupBy("station").agg(F.count("*").alias("missing"), F.min("hour").alias("first_missing"))
 
 
-def uptime_offline(spark, sf_dir):
+def uptime_offline(spark, sf_dir, start=T0, end=T1):
     """Runs of three missing hours or more."""
     hours = _hours(spark, sf_dir)
-    filled = series.spine(hours, "station", T0, T1).join(hours, ["station", "hour"], "left")
+    filled = _spine(hours, start, end).join(hours, ["station", "hour"], "left")
     w = Window.partitionBy("station").orderBy("hour")
     runs = series.islands(filled, "station", "hour", F.col("pm25").isNull() != F.lag(F.col("pm25").isNull()).over(w)).where("pm25 is null")
     return runs.groupBy("station", "run").agg(F.min("hour").alias("begins"), F.max("hour").alias("ends"), F.count("*").alias("hours")).where("hours >= 3").drop("run")

@@ -1,8 +1,11 @@
+import datetime
+
 import pytest
 
 from airstrata import registry
 from airstrata.functions.exprs import PM25_POINTS, category, index_of
 from airstrata.operators import series
+from airstrata.plans import fires, observations
 from airstrata.sources import publish
 from tests.conftest import SF
 from tests.oracle import compare
@@ -49,3 +52,38 @@ def test_empty_input_gives_empty_results(spark):
     assert series.hourly(none, "k", "t", "v").count() == 0
     assert series.spikes(none, "k", "t", "v").count() == 0
     assert series.latest_by(none, ["k"], "t", "v").count() == 0
+
+
+def test_cell_clusters_equal_brute_force(spark):
+    cells = {}
+    for r in fires.detections(spark, SF).selectExpr("date_format(day, 'yyyy-MM') AS month", "cy", "cx").distinct().collect():
+        cells.setdefault(r.month, set()).add((r.cy, r.cx))
+    want = set()
+    for month, left in cells.items():
+        while left:
+            found, todo = set(), [left.pop()]
+            while todo:
+                y, x = todo.pop()
+                found.add((y, x))
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            want.add((month, *min(found), len(found)))
+    assert {(r.month, r.cluster_y, r.cluster_x, r.cells) for r in fires.cell_clusters(spark, SF).collect()} == want
+
+
+def test_gaps_of_all_hours_equal_brute_force(spark):
+    hours = [(r.station, r.hour) for r in observations.hourly_agg(spark, SF).collect()]
+    seen, step = set(hours), datetime.timedelta(hours=1)
+    first, last = min(h for _, h in hours), max(h for _, h in hours)
+    spine = [first + i * step for i in range((last - first) // step + 1)]
+    gone = {s: [h for h in spine if (s, h) not in seen] for s in {s for s, _ in hours}}
+    assert observations.gapfill(spark, SF, None).count() == len(gone) * len(spine)
+    assert {(r.station, r.missing, r.first_missing) for r in observations.reading_gaps(spark, SF, None).collect()} == {(s, len(g), g[0]) for s, g in gone.items() if g}
+    nulls = {(r.station, r.hour) for r in observations.gapfill(spark, SF, None).where("pm25 is null").collect()}
+    runs = set()
+    for s in gone:
+        own = sorted(h for k, h in nulls if k == s)
+        starts = [i for i, h in enumerate(own) if i == 0 or h - own[i - 1] > step] + [len(own)]
+        runs |= {(s, own[a], own[b - 1], b - a) for a, b in zip(starts, starts[1:]) if b - a >= 3}
+    assert {(r.station, r.begins, r.ends, r.hours) for r in observations.uptime_offline(spark, SF, None).collect()} == runs
