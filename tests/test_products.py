@@ -1,12 +1,15 @@
 import datetime
+import difflib
+import random
 
 import pytest
 
 from airstrata import registry
 from airstrata.functions.exprs import PM25_POINTS, category, index_of
 from airstrata.operators import series
-from airstrata.plans import fires, observations
+from airstrata.plans import feeds, fires, observations
 from airstrata.sources import publish
+from airstrata.sources.tables import stations
 from tests.conftest import SF
 from tests.oracle import compare
 
@@ -87,3 +90,28 @@ def test_gaps_of_all_hours_equal_brute_force(spark):
         starts = [i for i, h in enumerate(own) if i == 0 or h - own[i - 1] > step] + [len(own)]
         runs |= {(s, own[a], own[b - 1], b - a) for a, b in zip(starts, starts[1:]) if b - a >= 3}
     assert {(r.station, r.begins, r.ends, r.hours) for r in observations.uptime_offline(spark, SF, None).collect()} == runs
+
+
+def ratio(a, b):
+    return round(difflib.SequenceMatcher(None, a, b).ratio(), 3)
+
+
+def test_name_similarity_equals_brute_force(spark):
+    rows = stations(spark, SF).collect()
+    want = {(a.station, b.station, ratio(a.name.lower(), b.name.lower())) for a in rows for b in rows if a.city == b.city and a.station < b.station}
+    assert {tuple(r) for r in feeds.name_similarity(spark, SF).collect()} == {x for x in want if x[2] >= 0.9}
+
+
+def test_alike_names_of_all_lengths_equal_brute_force(spark):
+    r, names = random.Random(11), ["", "", "x", "x", "xy", "yx", "aaaaaaaaaa", "aaaaaaaaaaa", None]
+    for n in range(2, 42):
+        base = [r.choice("abcd ") for _ in range(n)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(r.randint(0, max(1, n // 7))):
+                at = r.randrange(len(own) + 1)
+                own[at : at + r.randint(0, 1)] = r.choice(["", "z", "é", "ab"])
+            names.append("".join(own))
+    df = spark.createDataFrame([(i, "one", t) for i, t in enumerate(names)], "k int, city string, name string")
+    want = {(i, j, ratio(a, b)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a is not None and b is not None}
+    assert {tuple(x) for x in feeds.alike(df, "city", "k", "name").collect()} == {x for x in want if x[2] >= 0.9}
