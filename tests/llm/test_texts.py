@@ -46,6 +46,18 @@ def test_merkle_equals_brute_force_and_locates_edits(spark):
     assert merkle.with_next(empty_documents(spark)).count() == 0
 
 
+def test_likeness_holds_for_long_texts(spark):
+    r = np.random.default_rng(9)
+    texts = ["\n".join(" ".join(f"{x:x}" for x in r.integers(0, 1 << 40, 24).tolist()) for _ in range(12_000)) for _ in range(2)]
+    rows = merkle.with_next(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    own = merkle.runs(F.col("text"))
+    got = rows.select(merkle.likeness(own, F.col("next_runs")).alias("next"), merkle.likeness(own, merkle.runs(F.col("edited"))).alias("edited")).collect()
+    assert len(got) == 2 and all(len(t) > 2_500_000 for t in texts)
+    assert all(x.next < 0.001 and abs(x.edited - 0.75) < 0.01 for x in got)
+    print_ = spark.createDataFrame([(texts[0][:5000],)], "text string").select(F.size(merkle.runs(F.col("text"))).alias("n"), F.size(merkle.codes_of(merkle.fingerprint(F.col("text")))).alias("m")).first()
+    assert print_.n == print_.m
+
+
 def test_shards_are_near_equal_and_gapless(spark):
     rows = sharding.op8_virtual_slots(spark, SF).collect()
     load, places = {}, {}
