@@ -1,4 +1,4 @@
-"""The reading feed as a stream: hourly means, exceedance sessions, deduplication; and the upsert of each micro-batch.
+"""The reading feed as a stream: hourly means, exceedance sessions, deduplication.
 
 State is bounded by the watermark. Readings later than it are left to the batch reconciliation.
 """
@@ -34,9 +34,18 @@ def deduplicated(stream: DataFrame) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its rows as a table of the session."""
+    """Run a stream over all that is there and return its rows, which executors write to the shared folder.
+
+    A micro-batch that runs again overwrites its own rows; in complete mode each one overwrites the last one's."""
     spark, name = df.sparkSession, f"feed_{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airstrata-")
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    rows = f"{base}/{name}-rows"
+    # So that a feed without any batch reads as empty.
+    spark.createDataFrame([], df.schema).write.parquet(f"{rows}/none")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{rows}/*")

@@ -10,6 +10,7 @@ from airstrata.operators import series
 from airstrata.plans import feeds, fires, observations
 from airstrata.sources import publish
 from airstrata.sources.tables import stations
+from airstrata.streaming import feed
 from tests.conftest import SF
 from tests.oracle import compare
 
@@ -115,3 +116,16 @@ def test_alike_names_of_all_lengths_equal_brute_force(spark):
     df = spark.createDataFrame([(i, "one", t) for i, t in enumerate(names)], "k int, city string, name string")
     want = {(i, j, ratio(a, b)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a is not None and b is not None}
     assert {tuple(x) for x in feeds.alike(df, "city", "k", "name").collect()} == {x for x in want if x[2] >= 0.9}
+
+
+def test_drained_feed_is_read_from_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for _ in range(2):
+        events.repartition(2).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    stream = stream.selectExpr("event_id", "user_id AS station", "timestamp(ts) AS ts", "value AS pm25").withWatermark("ts", "9000 hours")
+    rows, hours = feed.drained(feed.deduplicated(stream), "append"), feed.drained(feed.hourly(stream))
+    assert rows.inputFiles() and hours.inputFiles()
+    assert sorted(r.event_id for r in rows.collect()) == sorted(r.event_id for r in events.collect())
+    assert hours.agg({"n": "sum"}).first()[0] == 2 * events.where("value is not null").count()
+    assert feed.drained(feed.hourly(stream.where("false"))).count() == 0
