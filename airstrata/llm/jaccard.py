@@ -97,7 +97,7 @@ class Shingler:
         """Shingle hashes in the order of the text, repeated ones too."""
         data, k = (text or "").encode(), self.words
         h = self.hashes(data)
-        if len(h) <= k:
+        if len(h) < k:
             words = data.lower().split()
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))] if words else [], np.uint64)
         n = len(h) - k + 1

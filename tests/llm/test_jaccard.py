@@ -54,6 +54,12 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert got == brute(texts)
 
 
+def test_five_words_hash_as_shingles_of_longer_texts(spark):
+    texts = {0: "a a a a a", 1: "A a a a a a", 2: " ".join("a" * 9), 3: "a a a a", 4: "b b b b b", 5: "c d e f g", 6: "c d e f g h"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.key: (r.n_shingles, r.component_id) for r in jaccard.joined(docs).collect()} == brute(texts)
+
+
 def test_edge_documents(spark):
     rows = jaccard.joined(edge_documents(spark)).collect()
     assert len(rows) == 11 and sorted(r.component_id for r in rows if r.key in (8, 9)) == [8, 8]
