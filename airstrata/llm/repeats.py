@@ -16,10 +16,15 @@
 A core with more contexts than `MOST` would grow beyond a task: its windows are hashed one by one and counted by
 aggregation, which is exact too.
 
+With `keep_first` a window stays where it is held first, by key, then text hash, then place, and goes from all others.
+Windows overlap, so a first one may lose bytes to another window that is held earlier still; of every byte that goes,
+an equal one stays in an earlier holder.
+
 Cases: a null text is empty; documents of fewer than `length` bytes lose nothing; rows equal in key and text are one
 document, rows equal in key alone are told apart by the text's hash; equal texts under different keys all lose their
-bytes; an empty table gives an empty result; texts of any length are taken whole; other columns are ignored or, in
-`deduped`, kept. Cores and contexts are told apart by 64 and 128 bits of hash.
+bytes, or all but the first; a null key is the first of all; an empty table gives an empty result; texts of any length
+are taken whole; other columns are ignored or, in `deduped`, kept, whatever their names. Cores and contexts are told
+apart by 64 and 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, stage, whole
 
@@ -125,6 +132,18 @@ class RunLengthIndex:
             step(1, inside & (self.symbols[np.minimum(p, self.n - 1)] == self.symbols[np.minimum(q, self.n - 1)]))
         return out
 
+    def later(self, places: np.ndarray, part: np.ndarray, least: int) -> np.ndarray:
+        """Which of these places, all there are with matches of `least` symbols, have one in an earlier part."""
+        if not len(places):
+            return np.zeros(0, bool)
+        order = np.argsort(self.levels[-1][1][places])
+        p = places[order]
+        new = np.concatenate([[True], self._common(p[:-1], p[1:]) < least])
+        first = np.minimum.reduceat(part[order], np.flatnonzero(new))
+        out = np.empty(len(places), bool)
+        out[order] = part[order] != first[np.cumsum(new) - 1]
+        return out
+
     def matching_statistics(self) -> np.ndarray:
         """Of each place, the length of the longest match with another place; each run end starts one for both."""
         own = np.zeros(self.n, np.int64)
@@ -134,16 +153,18 @@ class RunLengthIndex:
         return np.maximum.accumulate(own + place) - place
 
 
-def matched(contexts: list[tuple[int, bytes, int]], chunk: int, size: int) -> list[tuple[int, int]]:
-    """(first, last) matched window start in each context (core, bytes, core start); (0, -1) if there is none."""
+def matched(contexts: list[tuple[int, bytes, int]], chunk: int, size: int, keep_first: bool = False) -> list[tuple[int, int]]:
+    """(first, last) matched window start in each context (core, bytes, core start); (0, -1) if there is none. With
+    `keep_first` of the windows alone that an earlier context has too."""
     cores = {c: 256 + i for i, c in enumerate(dict.fromkeys(c for c, _, _ in contexts))}
     parts, lengths = [], []
     for i, (core, data, at) in enumerate(contexts):
         parts += [np.frombuffer(data, np.uint8, at).astype(np.uint16), np.array([cores[core]], np.uint16), np.frombuffer(data, np.uint8, -1, at + size).astype(np.uint16), np.array([256 + len(cores) + i], np.uint16)]
         lengths.append(at + 2 + len(data) - at - size)
-    stats = RunLengthIndex(np.concatenate(parts)).matching_statistics() >= chunk
-    ends = np.cumsum(lengths)
-    hits = np.flatnonzero(stats)
+    index, ends = RunLengthIndex(np.concatenate(parts)), np.cumsum(lengths)
+    hits = np.flatnonzero(index.matching_statistics() >= chunk)
+    if keep_first:
+        hits = hits[index.later(hits, np.searchsorted(ends, hits, "right"), chunk)]
     first, last = np.searchsorted(hits, ends - lengths), np.searchsorted(hits, ends) - 1
     base = ends - lengths
     return [(int(hits[a] - s), int(hits[b] - s)) if a <= b else (0, -1) for a, b, s in zip(first, last, base)]
@@ -171,53 +192,56 @@ def _places(keyed: DataFrame, length: int, chunk: int) -> DataFrame:
     return keyed.mapInArrow(rows, "core long, context long, key long, h long, place long")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk: int = CHUNK, keep_first: bool = False) -> DataFrame:
     """(key, h, spans): the merged intervals (start, end in bytes) of each document that has any; h is its text's hash."""
     keyed = _keyed(docs, key, text).where(F.octet_length("text") >= length)
     places = _places(keyed, length, chunk)
     # Rows equal in key and text count once: a place is told by key, h and place.
     own = F.xxhash64("key", "h", "place")
     more = F.min(own) != F.max(own)
-    repeated = places.groupBy("core").agg(more.alias("more")).where("more").select("core")
+    # Written first: both sides of the join then have exchanges of their own, and AQE splits a core of very many places.
+    repeated = stage(places.groupBy("core").agg(more.alias("more")).where("more").select("core"), "cores")
     held = stage(places.join(repeated, "core", "left_semi"), "places")
     contexts = held.groupBy("core", "context").agg(F.min(F.struct("key", "h", "place")).alias("first"), more.alias("twice"))
     contexts = stage(contexts, "contexts")
     sizes = contexts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     texts = stage(_with_bytes(keyed, contexts.join(sizes, "core")), "context-bytes")
-    found = contexts.where("twice").select("core", "context", F.lit(0).alias("lo"), _part("first.place", 16).alias("hi"))
-    found = found.unionByName(_indexed(texts.where(F.col("n") <= MOST), chunk, length))
-    found = found.unionByName(_counted(texts.where(F.col("n") > MOST), length))
-    found = found.groupBy("core", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = _indexed(texts.where(F.col("n") <= MOST), chunk, length, keep_first)
+    found = found.unionByName(_counted(texts.where(F.col("n") > MOST), length, keep_first))
+    # A context that is held twice matches over its whole length; its first place too, unless firsts are kept.
+    found = contexts.join(found, ["core", "context"], "left").where(F.col("twice") | F.col("lo").isNotNull())
+    # Written for the same reason: places of one core are many.
+    found = stage(found.select("core", "context", "first", "twice", "lo", "hi"), "matches")
+    whole_context = F.col("twice") & (~F.struct("key", "h", "place").eqNullSafe(F.col("first")) if keep_first else F.lit(True))
     start = F.shiftright("place", 32).cast("int")
-    marks = held.join(found, ["core", "context"]).select("key", "h", F.struct((start + F.col("lo")).alias("a"), (start + F.col("hi")).alias("b")).alias("span"))
-    return marks.groupBy("key", "h").agg(merged(F.sort_array(F.collect_set("span"))).alias("spans"))
+    lo, hi = F.when(whole_context, F.lit(0)).otherwise(F.col("lo")), F.when(whole_context, _part("place", 16)).otherwise(F.col("hi"))
+    marks = held.join(found, ["core", "context"]).select("key", "h", F.struct((start + lo).alias("a"), (start + hi).alias("b")).alias("span")).where("span.a is not null")
+    return merged(marks)
 
 
 def _part(place: str, shift: int) -> Column:
     return F.shiftright(place, shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
-def merged(spans: Column) -> Column:
-    """Sorted intervals with those that meet or overlap as one."""
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
-        return F.when((F.size(acc) > 0) & (last["b"] >= x["a"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, empty, add)
+def merged(marks: DataFrame) -> DataFrame:
+    """(key, h, spans) of rows (key, h, span): intervals that meet or overlap as one, in a pass over the sorted ones."""
+    order = Window.partitionBy("key", "h").orderBy("span.a", "span.b")
+    reach = F.max("span.b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = marks.withColumn("new", F.coalesce(reach < F.col("span.a"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("key", "h", "run").agg(F.struct(F.min("span.a").alias("a"), F.max("span.b").alias("b")).alias("span"))
+    return runs.groupBy("key", "h").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def _with_bytes(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     """The bytes of each context, cut from the first document that holds it."""
-    own = contexts.select("core", "context", "n", F.col("first.key").alias("_key"), F.col("first.h").alias("_h"), F.col("first.place").alias("place"))
+    own = contexts.select("core", "context", "n", "first", F.col("first.key").alias("_key"), F.col("first.h").alias("_h"), F.col("first.place").alias("place"))
     part = F.substring(F.col("text").cast("binary"), F.shiftright("place", 32).cast("int") + 1, _part("place", 16))
     rows = keyed.join(own, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_h") == F.col("h")))
-    return rows.select("core", "context", "n", _part("place", 0).alias("core_at"), part.alias("data"))
+    return rows.select("core", "context", "n", "first", _part("place", 0).alias("core_at"), part.alias("data"))
 
 
-def _indexed(texts: DataFrame, chunk: int, length: int) -> DataFrame:
+def _indexed(texts: DataFrame, chunk: int, length: int, keep_first: bool) -> DataFrame:
     """Matched intervals of the contexts of all cores that fit an index; the cores of a partition share indexes."""
     size = length - chunk + 1
 
@@ -225,7 +249,7 @@ def _indexed(texts: DataFrame, chunk: int, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
         def flush(rows: list) -> pa.RecordBatch:
-            hits = [(r[0], r[1], a, b + length) for r, (a, b) in zip(rows, matched([(r[0], r[2], r[3]) for r in rows], chunk, size)) if b >= a]
+            hits = [(r[0], r[1], a, b + length) for r, (a, b) in zip(rows, matched([(r[0], r[2], r[3]) for r in rows], chunk, size, keep_first)) if b >= a]
             return pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], k) for i, k in enumerate(kinds)], ["core", "context", "lo", "hi"])
 
         held, own = [], []
@@ -245,25 +269,26 @@ def _indexed(texts: DataFrame, chunk: int, length: int) -> DataFrame:
         if held or own:
             yield flush(held + own)
 
-    rows = texts.repartition("core").sortWithinPartitions("core", "context").select("core", "context", "data", "core_at")
+    rows = texts.repartition("core").sortWithinPartitions("core", "first", "context").select("core", "context", "data", "core_at")
     return rows.mapInArrow(search, "core long, context long, lo int, hi int")
 
 
-def _counted(texts: DataFrame, length: int) -> DataFrame:
+def _counted(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same for cores with too many contexts: all their windows, hashed and counted by aggregation."""
-    rows = texts.select("core", "context", "data", "core_at", F.explode(F.sequence(F.lit(0), F.octet_length("data") - F.lit(length))).alias("s"))
+    rows = texts.select("core", "context", "first", "data", "core_at", F.explode(F.sequence(F.lit(0), F.octet_length("data") - F.lit(length))).alias("s"))
     window = F.substring(F.col("data"), F.col("s") + 1, F.lit(length))
-    rows = rows.select("core", "context", "s", F.xxhash64(window).alias("w"), (F.col("s") - F.col("core_at")).alias("d"))
-    often = rows.groupBy("core", "w", "d").agg((F.min("context") != F.max("context")).alias("many")).where("many")
-    return rows.join(often, ["core", "w", "d"]).groupBy("core", "context").agg(F.min("s").alias("lo"), (F.max("s") + F.lit(length)).alias("hi"))
+    rows = rows.select("core", "context", "first", "s", F.xxhash64(window).alias("w"), (F.col("s") - F.col("core_at")).alias("d"))
+    often = rows.groupBy("core", "w", "d").agg(F.min(F.struct("first", "context")).alias("least"), (F.min("context") != F.max("context")).alias("many")).where("many")
+    rows = rows.join(often, ["core", "w", "d"]).where(F.col("context") != F.col("least.context") if keep_first else F.lit(True))
+    return rows.groupBy("core", "context").agg(F.min("s").alias("lo"), (F.max("s") + F.lit(length)).alias("hi"))
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The documents with their columns and their `spans`, an empty array where there are none."""
-    spans = repeated_spans(docs, key, text, **options).select(F.col("key").alias("_key"), F.col("h").alias("_h"), "spans")
+    """(_row, _spans): the documents, each as one struct, and their spans, an empty array where there are none."""
+    spans = repeated_spans(docs, key, text, **options).select(F.col("key").alias("_key"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(whole(text)).alias("_t"))
     rows = rows.join(spans, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_h")), "left")
-    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
+    return rows.select("_row", F.coalesce("_spans", F.array().cast("array<struct<a:int,b:int>>")).alias("_spans"))
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -288,23 +313,24 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The documents with their columns, repeated passages cut from `text` at whole characters; null stays null."""
-    names, kinds = docs.columns, dict(docs.dtypes)
+    """The documents with their columns, repeated passages cut from `text` at whole characters; null stays null.
 
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, own in zip(texts.to_pylist(), spans.to_pylist()):
-            data = (t or "").encode()
-            out.append(without(data, whole_characters(data, [(x["a"], x["b"]) for x in own])).decode() if own else t)
-        return pa.array(out, pa.string())
+    Documents that lose nothing pass by as they are; of the others text and spans alone go to Python."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(names))
-            yield pa.RecordBatch.from_arrays([cut(batch.column(i), spans) if c == text else batch.column(i) for i, c in enumerate(names)], names)
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, spans):
+            data = t.encode()
+            out.append(without(data, whole_characters(data, [(x["a"], x["b"]) for x in own])).decode())
+        return pd.Series(out, dtype=object)
 
-    schema = docs.schema
-    return with_spans(docs.withColumn(text, F.col(text).cast("string")) if kinds[text] != "string" else docs, key, text, **options).mapInArrow(rows, schema)
+    rows = with_spans(docs.withColumn(text, F.col(text).cast("string")), key, text, **options)
+    new = F.when(F.size("_spans") == 0, F.col("_row")[text]).otherwise(F.col("_cut"))
+    some = F.size("_spans") > 0
+    # A document without spans hands an empty text over.
+    rows = rows.withColumn("_cut", cut(F.when(some, F.col("_row")[text]).otherwise(F.lit("")), "_spans"))
+    return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,11 +339,11 @@ def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_spans"))):
                 data, own = (text or "").encode(), [(x["a"], x["b"]) for x in spans]
                 out.append((doc, len(data), sum(b - a for a, b in own), len(own), hashlib.sha256(without(data, own)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = with_spans(documents(spark, sf_dir).select("doc_id", "text")).select("_row.doc_id", "_row.text", "_spans")
     return rows.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

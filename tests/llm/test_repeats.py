@@ -45,12 +45,47 @@ def test_spans_equal_brute_force(spark, monkeypatch, most):
         assert got.get(i, []) == list(zip(edges[::2].tolist(), edges[1::2].tolist())), i
 
 
+def brute_later(texts, length):
+    """The same for windows that are held earlier: in an earlier text, or before in the same one."""
+    seen, out = set(), []
+    for t in texts:
+        mask = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                mask[i : i + length] = True
+            seen.add(t[i : i + length])
+        out.append(mask)
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_first_holders_keep_their_passages(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST", most)
+    texts = corpus(most + 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.key: [(s.a, s.b) for s in r.spans] for r in repeats.repeated_spans(docs, length=40, chunk=24, keep_first=True).collect()}
+    for i, (t, mask) in enumerate(zip(texts, brute_later([t.encode() for t in texts], 40))):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]).astype(int)))
+        assert got.get(i, []) == list(zip(edges[::2].tolist(), edges[1::2].tolist())), i
+
+
+def test_columns_with_the_operators_own_names_are_kept(spark):
+    names = "spans _spans _cut _row key h place core first"
+    docs = edge_documents(spark).selectExpr("*", *[f"doc_id AS {c}" for c in names.split()])
+    out = repeats.deduped(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.drop("text").collect())) == sorted(map(str, docs.drop("text").collect()))
+
+
 def test_edge_documents(spark):
     docs = edge_documents(spark)
     out = {(r.doc_id, r.text_len): r for r in repeats.deduped(docs).collect()}
     assert out[(8, 7)].text == out[(9, 8)].text == ""
     assert out[(1, 4)].text is None and out[(10, 9)].text == "été 漢字 🙂 x"
     assert repeats.deduped(docs).columns == docs.columns
+    first = {(r.doc_id, r.text_len): r.text for r in repeats.deduped(docs, keep_first=True).collect()}
+    # Repeated within the text from place 0 on, and in the second copy altogether.
+    assert 0 < len(first[(8, 7)]) < len(docs.where("text_len = 7").first().text) and first[(9, 8)] == ""
     assert repeats.deduped(empty_documents(spark)).count() == 0
 
 
