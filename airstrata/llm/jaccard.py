@@ -4,16 +4,18 @@
 2. Two sets with a Jaccard index of t or more share one of the first n - ceil(t n) + 1 shingles under any order of all
    shingles. Each class goes to the cells of those; shingles that many documents hold come last in the order, so that
    passages of many documents make no large cells. The order decides the speed, never the result.
-3. Each shingle hash belongs to one of a power of two of groups, about one for eight shingles. A class's point is its
+3. Cells of the same classes are one cell: a group of edited copies shares most of its prefixes.
+4. Each shingle hash belongs to one of a power of two of groups, about one for each shingle. A class's point is its
    counts by group. The sum of the lesser counts over all groups bounds the overlap of two sets; the sum against the
    largest counts below a node of an R-tree bounds it for all points there. A cell's tree is searched with each of its
    points, and of the pairs that the bound lets through, those that connect what is not yet connected go on.
-4. These pairs are verified on the whole sets. Where one fails, all pairs that the bound lets through in its cell and
+5. These pairs are verified on the whole sets. Where one fails, all pairs that the bound lets through in its cell and
    that are not connected by others are verified too, so that no link between different parts is lost.
-5. Components of the verified links give the result.
+6. Components of the verified links give the result.
 
-A cell of more than `BLOCK` classes is searched in blocks; what different blocks may still link is searched pair by
-pair of blocks, in cells that hold several components after the first verification.
+A cell of more than `BLOCK` classes is searched in blocks. What different blocks may still link is searched pair by
+pair of blocks, in cells that hold several components after the first verification; blocks of the component that has
+most of a cell meet those of the others only. A cell of S classes in as many components makes S * S / BLOCK rows.
 
 Cases: null and empty texts and texts without words have no shingles and link with nothing; a text of fewer than
 five words is one shingle; repeated rows and equal texts are in one component; a component's id is its least non-null
@@ -30,13 +32,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, stage, whole
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Classes in one tree, children of a tree's node, shingles for each group of a point, pairs verified in one task group.
-BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 8, 256
+BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 1, 256
+#: Most groups in a tree: points of very long texts are folded there, and compared in full after the search.
+TREE_GROUPS = 1024
 #: Most shingles that come last in the order, and what lossy counting in a task keeps at most.
 MOST_FREQUENT, MOST_COUNTED = 100_000, 400_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -117,17 +122,25 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """Counts by group, one byte each; groups double until no count passes a byte."""
+    """Counts by group, four bits each; groups double until no count passes them."""
     groups = 16
     while groups * PER_GROUP < len(shingles):
         groups *= 2
     while True:
         counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8).tobytes()
+        if counts.max(initial=0) < 16:
+            return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
         groups *= 2
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """The counts of a point."""
+    both = np.frombuffer(data, np.uint8)
+    out = np.empty(2 * len(both), np.uint8)
+    out[::2], out[1::2] = both & 15, both >> 4
+    return out
+
+
 class Tree:
     """A packed R-tree over points: each level has the largest counts and the size range below each node."""
 
@@ -168,8 +181,8 @@ class Bounds:
     def __init__(self, percent: int, most: int = 1_000_000):
         self.percent, self.most, self.known = percent, most, {}
 
-    def __call__(self, a: tuple, b: tuple) -> bool:
-        """For two rows (id, size, point), the lesser id first in `known`."""
+    def __call__(self, a: tuple, b: tuple, p: np.ndarray, q: np.ndarray) -> bool:
+        """For two rows (id, size, ...) and their points."""
         key = (a[0], b[0]) if a[0] < b[0] else (b[0], a[0])
         if key not in self.known:
             if len(self.known) > self.most:
@@ -177,9 +190,9 @@ class Bounds:
             least, largest = sorted((a[1], b[1]))
             go = 100 * least >= self.percent * largest
             if go:
-                width = min(len(a[2]), len(b[2]))
-                x, y = folded([np.frombuffer(p[2], np.uint8) for p in (a, b)], width)
-                go = int(np.minimum(x, y).sum()) * (100 + self.percent) >= self.percent * (a[1] + b[1])
+                if len(p) != len(q):
+                    p, q = folded([p, q], min(len(p), len(q)))
+                go = int(np.minimum(p, q).sum()) * (100 + self.percent) >= self.percent * (a[1] + b[1])
             self.known[key] = go
         return self.known[key]
 
@@ -206,14 +219,15 @@ def cell_pairs(token: int, rows: list[tuple], percent: int, bounds: Bounds) -> l
             if forest:
                 part[part == part[x]] = part[y]
 
+    points = [unpacked(r[2]) for r in rows]
     if len(rows) <= FAN:
         for x in range(1, len(rows)):
             for y in range(x):
-                if part[x] != part[y] and not (two and side[x] == side[y]) and bounds(rows[x], rows[y]):
+                if part[x] != part[y] and not (two and side[x] == side[y]) and bounds(rows[x], rows[y], points[x], points[y]):
                     take(x, np.array([y]))
         return out
-    n, points = np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint8) for r in rows]
-    widths = np.array([len(p) for p in points])
+    n = np.array([r[1] for r in rows], np.int64)
+    widths = np.array([min(len(p), TREE_GROUPS) for p in points])
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         # Pairs of different widths are found in the tree of the lesser one, from the points that have it.
@@ -224,7 +238,10 @@ def cell_pairs(token: int, rows: list[tuple], percent: int, bounds: Bounds) -> l
             x = int(near[at])
             found = np.sort(near[tree.search(flat[at], int(n[x]), percent)])
             found = found[(part[found] != part[x]) & ((widths[found] != width) | (found < x))]
-            take(x, found[side[found] != side[x]] if two else found)
+            found = found[side[found] != side[x]] if two else found
+            if len(points[x]) > TREE_GROUPS:
+                found = np.array([y for y in found.tolist() if bounds(rows[x], rows[y], points[x], points[y])], np.int64)
+            take(x, found)
     return out
 
 
@@ -279,7 +296,7 @@ def signatures(docs: DataFrame, often: np.ndarray, words: int, percent: int) ->
                 own = shingles(text)
                 n.append(len(own))
                 cid.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-                late = np.isin(own, often) if len(often) else np.zeros(len(own), bool)
+                late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
                 tokens.append(np.concatenate([own[~late], own[late]])[: prefix_size(len(own), percent)].astype(np.uint32).view(np.int32))
                 points.append(point(own))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
@@ -348,11 +365,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     """Documents as (key, n, cid), and (a, b) links between classes that connect all that similar documents connect."""
     often = frequent(docs, words, percent)
     signed = stage(signatures(docs, often, words, percent), "signatures")
-    members = signed.select("key", "n", "cid")
+    members = signed.select("key", "h", "n", "cid")
     # Rows of a class have equal tokens and points, so any of them stands for it.
     one = stage(signed.where("n > 0").dropDuplicates(["cid"]), "classes")
     held = stage(shared(one.select("cid", F.explode("tokens").alias("token"))), "cells")
-    sizes = held.groupBy("token").agg(F.count("*").alias("size"))
+    # Cells of the same classes, by 128 bits of hash, are the one of the least token.
+    sizes = held.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+    sizes = stage(sizes.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"), "distinct-cells")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = held.join(sizes, "token").select("token", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     cells = cells.join(one.select("cid", "n", "point"), "cid")
@@ -371,15 +390,35 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     open_ = stage(open_.join(several, "token"), "open-several")
     own = open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open"))
     open_ = open_.join(own, "cid")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = open_.select("*", other).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "point", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "label", "open",
-    )
-    second = stage(search(units, percent, True).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
+    second = search(unconnected(open_), percent, True).select("a", "b").distinct()
+    second = stage(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
     more = stage(verified(second, class_texts(docs, one, second), words, percent).where("ok").select("a", "b"), "more")
     return members, good.union(more)
 
 
+def unconnected(cells: DataFrame) -> DataFrame:
+    """Units (token, i, j) of open cells, with sides where a unit has two: the blocks in which classes of different
+    labels meet. In a cell of several blocks, blocks of its main label meet those of the other labels, and these each
+    other."""
+    columns = ["cid", "n", "point", "side", "label", "open"]
+    unit = lambda df, i, j, side: df.select("token", i.cast("int").alias("i"), j.cast("int").alias("j"), *[side.alias(c) if c == "side" else c for c in columns])
+    one = unit(cells.where("blocks = 1"), F.lit(0), F.lit(0), F.lit(0))
+    several = cells.where("blocks > 1")
+    by = several.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
+    rest_blocks = F.ceil((F.sum("c") - F.max("c")) / BLOCK).cast("int")
+    main = stage(by.agg(F.max_by("label", F.struct("c", "label")).alias("main"), rest_blocks.alias("rest_blocks")), "main-labels")
+    several = several.join(main, "token")
+    is_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("cid"), F.when(is_main, F.col("blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    several = several.withColumn("own", own)
+    to = lambda df, n: df.withColumn("to", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    out = unit(to(several.where(is_main), "rest_blocks"), -1 - F.col("own"), F.col("to"), F.lit(1))
+    rest = several.where(~is_main)
+    out = out.union(unit(to(rest, "blocks"), -1 - F.col("to"), F.col("own"), F.lit(2)))
+    side = F.when(F.col("own") == F.col("to"), 0).when(F.col("own") < F.col("to"), 1).otherwise(2)
+    return one.union(out).union(unit(to(rest, "rest_blocks"), F.least("own", "to"), F.greatest("own", "to"), side))
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """The rows (cid, token) of tokens that several classes hold."""
     held = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
@@ -395,15 +434,30 @@ def class_texts(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) of every document."""
+    """(key, h, n_shingles, component_id, first) of every document: h is its text's hash, and `first` holds for the
+    one of a component with the least key, nulls last, and of these the least h; also for all without shingles."""
     own = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     members, edges = links(own, words, percent)
     labelled = members.join(components(edges).withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("key").alias("least"))
+    labelled = stage(labelled, "labels")
+    place = F.struct(F.col("key").isNull(), "key", "h")
+    # Written: a component of very many documents can then be split in the join.
+    least = stage(labelled.where("n > 0").groupBy("label").agg(F.min("key").alias("least"), F.min(place).alias("_first")), "components")
     rows = labelled.join(least, "label", "left")
-    return rows.select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("least")).alias("component_id"))
+    none = F.col("n") == 0
+    return rows.select("key", "h", F.col("n").alias("n_shingles"), F.when(none, F.col("key")).otherwise(F.col("least")).alias("component_id"), (none | place.eqNullSafe(F.col("_first"))).alias("first"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The first document of each component, with its columns. Rows equal in key and text are one document, of which
+    one row stays; rows equal in key alone are documents of their own."""
+    found = joined(docs, key, text, words, percent).where("first").select(F.xxhash64("key", "h").alias("_id")).distinct()
+    rows = docs.select(F.xxhash64(F.col(key).cast("long"), F.xxhash64(whole(text))).alias("_id"), F.struct(*docs.columns).alias("_row"))
+    again = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
+    rows = rows.join(found, "_id", "left_semi").withColumn("_again", again).where("_again = 1")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document."""
-    return joined(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+    return joined(documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")

@@ -45,9 +45,10 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "groups"), [(2048, 1024), (4, 16)])
+def test_components_equal_brute_force(spark, monkeypatch, block, groups):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TREE_GROUPS", groups)
     texts = corpus(block)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.key: (r.n_shingles, r.component_id) for r in jaccard.joined(docs).collect()}
@@ -66,6 +67,16 @@ def test_edge_documents(spark):
     assert jaccard.joined(empty_documents(spark)).count() == 0
 
 
+def test_one_of_each_component_stays(spark):
+    docs = edge_documents(spark).selectExpr("*", "doc_id AS first", "doc_id AS _id", "doc_id AS h", "doc_id AS _again")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text_len) for r in out.collect()), key=str)
+    # One of the two equal rows, the other text of id 3, one of two equal texts, and all without words.
+    assert got == sorted([(3, 1), (3, 2), (None, 3), (None, None), (1, 4), (2, 5), (7, 6), (8, 7), (10, 9)], key=str)
+    assert jaccard.one_of_each(empty_documents(spark)).count() == 0
+
+
 def test_tree_finds_all_that_the_bound_lets_through():
     r = np.random.default_rng(3)
     points = r.poisson(4, (700, 16)).astype(np.uint16)
