@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +19,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset, a folder
+    within the warehouse, which they share too."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="airstrata-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +69,20 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(even, "\n"), lambda x: F.btrim(x, F.lit(" ")))
 
 
+def without_places(items: Column, gone: Column) -> Column:
+    """The items of an array whose places are not in `gone`, an array of distinct places; in time linear in both."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array_except(places, gone), lambda i: F.get(items, i))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name of a column that an operator adds: with underscores behind it while the input has one of that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blanks(line: Column) -> Column:
     """Blanks in a normal line; it has a word more, unless it is empty."""
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))

@@ -1,12 +1,15 @@
 """Quality rules from the frequency of lines across documents, with DataFrame operations only.
 
-Lines are normalised and hashed, and the distinct texts of a host that hold each line are counted. A line that more
-texts hold than the limits allow is removed from all of them but the first (smallest key), and a document that loses
-most of its words that way is rejected. Exact copies count once: they are the same text.
-
-Cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows get equal
-results; a tie for the first place is broken by the text's hash; an empty table gives an empty result; texts of any
-length are taken whole; other columns of the input are ignored or, in `clean`, kept.
+Lines are normalised and hashed, and the distinct documents of a host that hold each line are counted. A line that
+more documents hold than the limit allows is removed from all of them but the first (smallest key), and a document
+that loses most of its words that way is rejected. The limit is a count, the same for a host of any size. Copies are
+documents as any others, so that of many copies of a page the first alone is left whole.
+
+Cases: a null text has no words and fails the base rules; a null host is a host of its own; rows equal in key, text
+and host are one document and get equal results; rows equal in key alone are told apart by the text's hash, and the
+first is the one of the least hash; null keys come first; an empty table gives an empty result; texts of any length
+are taken whole; other columns of the input are ignored or, in `clean`, kept, whatever their names. Lines, hosts and
+documents are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SQL_WS, WORD, WS, documents, lines, normal_line, sql_normal_line, stage, whole, words
+from .common import SQL_WS, WORD, WS, blanks, documents, lines, normal_lines, sql_normal_line, stage, whole, without_places, words
 
 SYMBOLS = "#*$%&|<>"
-#: A line is removed when more distinct texts of its host hold it than this count and this share of the host's texts.
-MAX_TEXTS, MAX_SHARE = 10, 0.01
+#: A line is removed when more distinct documents of its host hold it.
+MAX_DOCS = 10
 #: A document is rejected when fewer words, or a smaller share of its words, are left.
 MIN_LEFT, MIN_LEFT_SHARE = 50, 0.3
 
@@ -50,10 +53,10 @@ def repeat_words(df: DataFrame, w: str = "w") -> DataFrame:
 def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Counts of each document's whole text and the verdict of the base rules; all within the scan's stage."""
     t = F.col("_t")
-    df = docs.select(F.col(key).alias("doc_id"), host_of(host).alias("_host"), whole(text).alias("_t"))
-    df = df.select("doc_id", "_host", F.xxhash64("_t").alias("_text"), "_t", words(t).alias("w"), F.filter(lines(t), lambda x: x.rlike(WORD)).alias("_lines"))
+    df = docs.select(F.col(key).alias("doc_id"), document_hash(key, text, host).alias("_doc"), whole(text).alias("_t"))
+    df = df.select("doc_id", "_doc", "_t", words(t).alias("w"), F.filter(lines(t), lambda x: x.rlike(WORD)).alias("_lines"))
     df = df.select(
-        "doc_id", "_host", "_text", "w", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "_doc", "w", F.size("w").cast("long").alias("n_words"),
         F.length(F.translate(t, WS, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -67,58 +70,65 @@ def host_of(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
+def document_hash(key: str, text: str, host: str) -> Column:
+    """A document is told by its key, text and host."""
+    return F.xxhash64(F.col(key), F.xxhash64(whole(text)), F.xxhash64(host_of(host)))
+
+
 def held_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(host, text hash, line hash) once each, with the words that the line's occurrences have and the first key."""
-    df = docs.select(F.col(key).alias("_key"), host_of(host).alias("_host"), whole(text).alias("_t"))
-    df = df.select("_key", "_host", F.xxhash64("_t").alias("_text"), F.explode(lines(F.col("_t"))).alias("_l"))
-    df = df.where(F.col("_l").rlike(WORD))
-    df = df.select("_key", "_host", "_text", F.xxhash64(normal_line(F.col("_l"))).alias("_line"), F.size(F.split(F.btrim("_l", F.lit(WS)), r"[\x20\x09-\x0D]+")).alias("_w"))
-    # One row per document and line first; equal texts then fold into one with the counts of one of them.
-    per_doc = df.groupBy("_host", "_text", "_line", "_key").agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"))
-    return per_doc.groupBy("_host", "_text", "_line").agg(F.min("_w").alias("_w"), F.min("_key").alias("_key"))
-
-
-def removed_lines(docs: DataFrame, max_texts: int = MAX_TEXTS, max_share: float = MAX_SHARE, **columns: str) -> DataFrame:
-    """For each (host, text) that loses lines: their hashes and the words lost.
-
-    Counting is a partial aggregation per (host, line), so a host with a third of all rows, or a line in all of them,
-    adds up before the shuffle; the join that finds a line's holders again is one that AQE can split."""
-    held = held_lines(docs, **columns)
-    texts = held.groupBy("_host", "_text").agg(F.lit(1)).groupBy("_host").agg(F.count("*").alias("_texts"))
-    counts = held.groupBy("_host", "_line").agg(F.count("*").alias("_n"), F.min(F.struct("_key", "_text")).alias("_first"))
-    over = counts.where(F.col("_n") > max_texts).join(texts, "_host").where(F.col("_n") > max_share * F.col("_texts"))
-    over = over.select("_host", "_line", F.col("_first._text").alias("_keeps"))
-    lost = held.join(over, ["_host", "_line"]).where(F.col("_text") != F.col("_keeps"))
-    return lost.groupBy("_host", "_text").agg(F.sum("_w").alias("lost_words"), F.sort_array(F.collect_set("_line")).alias("lost_lines"))
-
-
-def verdicts(docs: DataFrame, max_texts: int = MAX_TEXTS, max_share: float = MAX_SHARE, **columns: str) -> DataFrame:
+    """A row for each line with a word: hashes of host, line, text and document, key, place and words."""
+    df = docs.select(F.col(key).alias("_key"), F.xxhash64(host_of(host)).alias("_host"), document_hash(key, text, host).alias("_doc"), whole(text).alias("_t"))
+    df = df.select("_key", "_host", "_doc", F.xxhash64("_t").alias("_text"), F.posexplode(normal_lines(F.col("_t"))).alias("_i", "_l"))
+    return df.where("_l <> ''").select("_key", "_host", "_doc", "_text", F.xxhash64("_l").alias("_line"), "_i", (blanks(F.col("_l")) + 1).alias("_w"))
+
+
+def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, **columns: str) -> DataFrame:
+    """For each document that loses lines: their places and the words lost.
+
+    Occurrences are counted first, by an aggregation that combines within tasks, so that a host with a third of all
+    rows, or a line in all of them, is a row a task; what is not above the limit drops out there. Documents are then
+    counted for the lines that are left, spread by document. Each table that hands results back is written before it
+    is joined, so that AQE can split the rows of a hot line."""
+    pair = ["_host", "_line"]
+    held = stage(held_lines(docs, **columns), "held-lines")
+    often = stage(held.groupBy(*pair).agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs).select(*pair), "often")
+    held = stage(held.join(often, pair, "left_semi"), "often-held")
+    counts = held.groupBy(*pair, "_key", "_text", "_doc").agg(F.lit(1).alias("_one")).groupBy(*pair)
+    over = counts.agg(F.count("*").alias("_n"), F.min(F.struct("_key", "_text", "_doc")).alias("_first")).where(F.col("_n") > max_docs)
+    over = stage(over.select(*pair, F.col("_first._doc").alias("_keeps")), "over")
+    # Rows of one document can repeat: each place counts once.
+    lost = held.join(over, pair).where(F.col("_doc") != F.col("_keeps")).select("_doc", "_i", "_w").distinct()
+    return lost.groupBy("_doc").agg(F.sum("_w").alias("lost_words"), F.collect_list("_i").alias("lost_places"))
+
+
+def kept_by(n_words: Column, lost_words: Column) -> Column:
+    left = n_words - F.coalesce(lost_words, F.lit(0))
+    return (left >= MIN_LEFT) & (left >= MIN_LEFT_SHARE * n_words)
+
+
+def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, **columns: str) -> DataFrame:
     """One row per document: the base counts, the words that frequent lines take, and whether it is kept."""
     base = base_rules(docs, **columns)
-    lost = removed_lines(docs, max_texts, max_share, **columns).select("_host", "_text", "lost_words")
-    left = F.col("n_words") - F.coalesce(F.col("lost_words"), F.lit(0))
-    depleted = (left < MIN_LEFT) | (left < MIN_LEFT_SHARE * F.col("n_words"))
-    return base.join(lost, ["_host", "_text"], "left").select(
+    lost = removed_lines(docs, max_docs, **columns).select("_doc", "lost_words")
+    return base.join(lost, "_doc", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce("lost_words", F.lit(0)).cast("long").alias("n_frequent_line_words"),
+        (~F.col("base_failed") & kept_by(F.col("n_words"), F.col("lost_words"))).alias("kept"), F.coalesce("lost_words", F.lit(0)).cast("long").alias("n_frequent_line_words"),
     )
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """The documents that are kept, with their columns; frequent lines are taken out of their texts."""
     names = docs.columns
     named = {"key": key, "text": text, "host": host}
     # Written before it is filtered: a filter pushed into the counts would repeat their expressions.
-    base = stage(base_rules(docs, **named).select("_host", "_text", "n_words", "base_failed"), "base-rules")
-    base = base.where(~F.col("base_failed")).select("_host", "_text", "n_words").distinct()
-    lost = removed_lines(docs, **named)
-    left = F.col("n_words") - F.coalesce(F.col("lost_words"), F.lit(0))
-    good = base.join(lost, ["_host", "_text"], "left").where((left >= MIN_LEFT) & (left >= MIN_LEFT_SHARE * F.col("n_words"))).select("_host", "_text", "lost_lines")
-    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), host_of(host).alias("_host"), F.xxhash64(whole(text)).alias("_text"))
-    rows = rows.join(good, ["_host", "_text"])
-    kept = F.filter(lines(F.col(f"_row.{text}")), lambda x: ~F.array_contains("lost_lines", F.xxhash64(normal_line(x))))
-    new = F.when(F.col("lost_lines").isNull(), F.col(f"_row.{text}")).otherwise(F.array_join(kept, "\n"))
-    return rows.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in names])
+    base = stage(base_rules(docs, **named).select("_doc", "n_words", "base_failed"), "base-rules")
+    base = base.where(~F.col("base_failed")).select("_doc", "n_words").distinct()
+    lost = removed_lines(docs, max_docs, **named)
+    good = base.join(lost, "_doc", "left").where(kept_by(F.col("n_words"), F.col("lost_words"))).select("_doc", "lost_places")
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), document_hash(key, text, host).alias("_doc")).join(good, "_doc")
+    own = F.col("_row")[text]
+    new = F.when(F.col("lost_places").isNull(), own).otherwise(F.array_join(without_places(lines(own), F.col("lost_places")), "\n"))
+    return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,18 +147,16 @@ l0 AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
 l AS (SELECT *, {sql_normal_line("l")} AS norm, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw
       FROM l0 WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
-held AS (SELECT host, t, norm, min(nw) AS nw, min(doc_id) AS k
-         FROM (SELECT host, t, norm, doc_id, sum(nw) AS nw FROM l GROUP BY ALL) GROUP BY host, t, norm),
-texts AS (SELECT host, count(DISTINCT t) AS n FROM held GROUP BY host),
-freq AS (SELECT host, norm, count(*) AS n, min(k) AS k FROM held GROUP BY host, norm),
-lost AS (SELECT h.host, h.t, sum(h.nw) AS nw FROM held h JOIN freq f USING (host, norm) JOIN texts x USING (host)
-         WHERE f.n > {MAX_TEXTS} AND f.n > {MAX_SHARE} * x.n AND h.k <> f.k GROUP BY h.host, h.t),
-base AS (SELECT d.doc_id, d.host, d.t, len(w.w) AS n_words, length(translate(d.t, {SQL_WS}, '')) AS word_chars,
+held AS (SELECT host, norm, doc_id, sum(nw) AS nw FROM l GROUP BY ALL),
+freq AS (SELECT host, norm, count(*) AS n, min(doc_id) AS k FROM held GROUP BY host, norm),
+lost AS (SELECT h.doc_id, sum(h.nw) AS nw FROM held h JOIN freq f USING (host, norm)
+         WHERE f.n > {MAX_DOCS} AND h.doc_id <> f.k GROUP BY h.doc_id),
+base AS (SELECT d.doc_id, len(w.w) AS n_words, length(translate(d.t, {SQL_WS}, '')) AS word_chars,
                 length(d.t) - length(translate(d.t, '{SYMBOLS}', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
                 coalesce(covered.n, 0) AS n_repeat_words
          FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
 j AS (SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(lost.nw, 0)::BIGINT AS f
-      FROM base LEFT JOIN lost ON base.host = lost.host AND base.t = lost.t)
+      FROM base LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND NOT (n_words - f < {MIN_LEFT} OR n_words - f < {MIN_LEFT_SHARE} * n_words) AS kept,

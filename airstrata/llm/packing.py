@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stage_path, whole
-from .tokens import END_ID, encoder, slices, vocabulary_path
+from .tokens import END_ID, encoder, slices
 
 SEQUENCE = 1024
 #: Dimensions, bits for each, buckets of the hashed vector, and how far the mean sign is stretched before squashing.
@@ -96,10 +96,8 @@ def curve_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def encoded_along_curve(placed: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Range-sort by the curve and write each document's ids with its place in its part."""
-    where = vocabulary or vocabulary_path()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, start = encoder(where), np.array([END_ID], "<u4").tobytes(), 0
+        enc, end, start = encoder(vocabulary), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             own, parts, at = batch.column("doc_id").to_pylist(), batch.column("part"), 0
             for some in slices(batch.column("text").to_pylist()):

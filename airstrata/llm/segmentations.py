@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
@@ -302,13 +302,23 @@ class Search:
         return [(paths, -o[0][0] if o else -np.inf) for paths, o in zip(found, open_)]
 
 
+_VOCABULARIES: dict[str | None, Vocabulary] = {}
+
+
+def vocabulary_of(path: str | None) -> Vocabulary:
+    """One for each worker and file; the public one where no path is given, found on the worker's own machine."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path or public_tokenizers.path(VOCABULARY))
+    return _VOCABULARIES[path]
+
+
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, vocabulary: str | None = None, seed: int = 0) -> DataFrame:
     """Up to `k` distinct segmentations of each document, best first: ids (little-endian unsigned 16-bit), the
     log-probability, its perturbed value, and the probability of being in the sample at the threshold met."""
-    where = vocabulary or public_tokenizers.path(VOCABULARY)
+    where = vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(where)
+        vocabulary = vocabulary_of(where)
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
             at = 0
@@ -332,18 +342,20 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
 
 def decoded(rows: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """The rows with the text of their ids as `text`; null ids give a null text."""
-    where, names = vocabulary or public_tokenizers.path(VOCABULARY), [c for c in rows.columns if c != "text"]
+    """The rows with the text of their ids as `text`, or under the first free name of that with underscores behind it;
+    null ids give a null text."""
+    where, names = vocabulary, rows.columns
+    new = free_name(names, "text")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Vocabulary(where).raw
+        raw = vocabulary_of(where).raw
         for batch in batches:
             out = [None if x is None else b"".join(map(raw.__getitem__, np.frombuffer(x, "<u2").tolist())).decode(errors="replace") for x in batch.column(ids).to_pylist()]
             texts = [t and t.removeprefix(" ") for t in out]  # the blank in front is the encoder's
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, new])
 
     kinds = dict(rows.dtypes)
-    return rows.select(*names).mapInArrow(decode, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string"]))
+    return rows.mapInArrow(decode, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{new}` string"]))
 
 
 def op2_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

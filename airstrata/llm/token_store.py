@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, stage_path, whole
-from .tokens import END_ID, encoder, slices, vocabulary_path
+from .tokens import END_ID, encoder, slices
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -87,10 +87,8 @@ def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids: int = BLOCK_IDS, **columns: str) -> None:
     """Encode documents after the sort, where they stream by in order, and write blocks."""
-    where = vocabulary or vocabulary_path()
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(where), np.array([END_ID], "<u4").tobytes()
+        enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         keys, ids, ends, n, part, block, start = [], [], [], 0, None, 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -62,8 +62,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker and file."""
+def encoder(path: str | None) -> Encoder:
+    """One for each worker and file; the public one where no path is given, found on the worker's own machine."""
+    path = path or vocabulary_path()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
