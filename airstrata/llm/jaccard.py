@@ -5,7 +5,7 @@
    shingles. Each class goes to the cells of those; shingles that many documents hold come last in the order, so that
    passages of many documents make no large cells. The order decides the speed, never the result.
 3. Cells of the same classes are one cell: a group of edited copies shares most of its prefixes.
-4. Each shingle hash belongs to one of a power of two of groups, about one for each shingle. A class's point is its
+4. Each shingle hash belongs to one of a power of two of groups, about one for two shingles. A class's point is its
    counts by group. The sum of the lesser counts over all groups bounds the overlap of two sets; the sum against the
    largest counts below a node of an R-tree bounds it for all points there. A cell's tree is searched with each of its
    points, and of the pairs that the bound lets through, those that connect what is not yet connected go on.
@@ -39,7 +39,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Classes in one tree, children of a tree's node, shingles for each group of a point, pairs verified in one task group.
-BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 1, 256
+BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 2, 256
 #: Most groups in a tree: points of very long texts are folded there, and compared in full after the search.
 TREE_GROUPS = 1024
 #: Most shingles that come last in the order, and what lossy counting in a task keeps at most.
@@ -374,33 +374,47 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     sizes = stage(sizes.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"), "distinct-cells")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = held.join(sizes, "token").select("token", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-    cells = cells.join(one.select("cid", "n", "point"), "cid")
-    first = stage(search(cells.select("token", F.col("block").alias("i"), F.col("block").alias("j"), "cid", "n", "point", F.lit(0).alias("side")), percent, False), "found")
+    cells = stage(cells, "kept-cells")
+    points = one.select("cid", "n", "point")
+    first = cells.join(points, "cid").select("token", F.col("block").alias("i"), F.col("block").alias("j"), "cid", "n", "point", F.lit(0).alias("side"))
+    first = stage(search(first, percent, False), "found")
     pairs = stage(first.select("a", "b").distinct(), "candidates")
-    texts = class_texts(docs, one, pairs)
+    texts = class_texts(docs, one.join(cells.select("cid").distinct(), "cid", "left_semi"))
     checked = stage(verified(pairs, texts, words, percent), "checked")
     good = checked.where("ok").select("a", "b")
     failed = checked.where("not ok").select("a", "b")
-    # Cells with a failed pair, and those of several blocks, are searched again between components.
+    # Cells with a failed pair, and those of several blocks, are searched again between components. Points join last.
     again = first.join(failed, ["a", "b"], "left_semi").select("token").union(cells.where("blocks > 1").select("token")).distinct()
     label = components(good).withColumnRenamed("node", "cid")
     open_ = cells.join(again, "token").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     open_ = stage(open_, "open")
     several = open_.groupBy("token").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("token")
-    open_ = stage(open_.join(several, "token"), "open-several")
-    own = open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open"))
-    open_ = open_.join(own, "cid")
-    second = search(unconnected(open_), percent, True).select("a", "b").distinct()
+    open_ = stage(open_.join(stage(several, "several"), "token"), "open-several")
+    own = points.join(open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open")), "cid")
+    second = search(unconnected(open_).join(own, "cid"), percent, True).select("a", "b").distinct()
     second = stage(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
-    more = stage(verified(second, class_texts(docs, one, second), words, percent).where("ok").select("a", "b"), "more")
+    more = stage(verified(second, texts, words, percent).where("ok").select("a", "b"), "more")
     return members, good.union(more)
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (cid, token) of tokens that several classes hold."""
+    held = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    return rows.join(held, "token", "left_semi")
+
+
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, text) of some classes, each told by one document (key, h) that has its set."""
+    own = classes.select("cid", F.col("key").alias("_key"), F.col("h").alias("_h"))
+    rows = docs.join(own, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))).select("cid", "text")
+    return stage(rows.dropDuplicates(["cid"]), "texts")
+
+
 def unconnected(cells: DataFrame) -> DataFrame:
     """Units (token, i, j) of open cells, with sides where a unit has two: the blocks in which classes of different
     labels meet. In a cell of several blocks, blocks of its main label meet those of the other labels, and these each
     other."""
-    columns = ["cid", "n", "point", "side", "label", "open"]
+    columns = ["cid", "side", "label"]
     unit = lambda df, i, j, side: df.select("token", i.cast("int").alias("i"), j.cast("int").alias("j"), *[side.alias(c) if c == "side" else c for c in columns])
     one = unit(cells.where("blocks = 1"), F.lit(0), F.lit(0), F.lit(0))
     several = cells.where("blocks > 1")
@@ -419,20 +433,6 @@ def unconnected(cells: DataFrame) -> DataFrame:
     return one.union(out).union(unit(to(rest, "rest_blocks"), F.least("own", "to"), F.greatest("own", "to"), side))
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows (cid, token) of tokens that several classes hold."""
-    held = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    return rows.join(held, "token", "left_semi")
-
-
-def class_texts(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cid, text) of the classes in some pairs."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    own = one.join(wanted, "cid", "left_semi").select("cid", F.col("key").alias("_key"), F.col("h").alias("_h"))
-    rows = docs.join(own, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))).select("cid", "text")
-    return stage(rows.dropDuplicates(["cid"]), "texts")
-
-
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, h, n_shingles, component_id, first) of every document: h is its text's hash, and `first` holds for the
     one of a component with the least key, nulls last, and of these the least h; also for all without shingles."""

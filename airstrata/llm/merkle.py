@@ -4,8 +4,10 @@ The tree: root, sections, paragraphs, runs of words. Paragraphs are lines. A sec
 line whose hash is divisible by `SECTION`, so that an edit moves no section boundary but its own. A paragraph's node
 is the hash of its text, a section's the hash of its paragraphs' nodes, the root the SHA-256 of the sections' nodes.
 The fingerprint is a string of all levels: equal roots mean equal texts, sections and paragraphs that differ locate an
-edit, and the runs' 32-bit codes tell how alike two texts are, down to parts of one paragraph. At m distinct runs an
-unrelated text's code is met by chance in m of 2**32 cases, so that likeness holds for texts of many megabytes too.
+edit, and the runs' 32-bit codes tell how alike two texts are, down to parts of one paragraph. Likeness walks both
+trees from the root: what equal sections hold is shared, and only sections that differ are opened, then only their
+paragraphs that differ. At m distinct runs an unrelated text's code is met by chance in m of 2**32 cases, so that
+likeness holds for texts of many megabytes too.
 
 Cases: a null text is empty; an empty text has one empty paragraph, and two empty texts are fully alike; rows equal in
 key and text are one document, rows equal in key alone are told apart by the text's hash; a document alone is its own
@@ -32,12 +34,6 @@ def _hex8(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
 
 
-def runs(text: Column) -> Column:
-    """The distinct 32-bit codes of a text's runs of words."""
-    code = lambda r: (F.xxhash64(r).bitwiseAND(F.lit(0xFFFFFFFF)) - 2147483648).cast("int")
-    return F.array_distinct(F.flatten(F.transform(F.split(text, "\n"), lambda p: F.transform(_runs_of(p), code))))
-
-
 def _runs_of(p: Column) -> Column:
     return F.regexp_extract_all(p, F.when(F.length(p) < SHORT, _WORD).otherwise(_RUN), F.lit(0))
 
@@ -57,11 +53,6 @@ def fingerprint(text: Column) -> Column:
     return F.concat(F.substring(F.sha2(F.regexp_replace(body, "=[0-9a-f]*", "").cast("binary"), 256), 1, 32), F.lit("|"), body)
 
 
-def codes_of(print_: Column) -> Column:
-    """The distinct codes of the runs in a fingerprint, eight digits each."""
-    return F.array_distinct(F.regexp_extract_all(F.array_join(F.regexp_extract_all(print_, F.lit("=([0-9a-f]+)"), F.lit(1)), ""), F.lit("[0-9a-f]{8}"), F.lit(0)))
-
-
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "|", 1)
 
@@ -77,10 +68,35 @@ def edits(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(own, lambda i: i.isNotNull()))
 
 
+def _opened(nodes: Column, mark: str, behind: str = "") -> Column:
+    """The distinct children of all nodes of an array."""
+    return F.array_distinct(F.flatten(F.transform(nodes, lambda s: F.split(F.regexp_replace(s, behind, "") if behind else s, mark))))
+
+
+def _codes(nodes: Column) -> Column:
+    """The codes below some nodes, as one string of eight digits each."""
+    return F.regexp_replace(F.array_join(nodes, ""), "[0-9a-f]{8}:|[0-9a-f]{16}=|,", "")
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal codes (twice the common over both), from 0 to 1, of two arrays of distinct codes."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+    """How alike two fingerprints are, from 0 to 1: twice the runs that they share over the runs of both.
+
+    Sections are sets, so are the paragraphs of sections that differ, and the runs of paragraphs that differ; two texts
+    without runs are alike."""
+    sections = lambda x: F.split(F.substring_index(x, "|", -1), "/")
+
+    def walk(x: Column, y: Column) -> Column:
+        both = [F.array_except(x, y), F.array_except(y, x)]
+        same = F.length(_codes(F.array_intersect(x, y))) / 8
+        paragraphs = [_opened(d, ",", "^[0-9a-f]{8}:") for d in both]
+        differ = [F.array_except(paragraphs[0], paragraphs[1]), F.array_except(paragraphs[1], paragraphs[0])]
+        same += F.length(_codes(F.array_intersect(paragraphs[0], paragraphs[1]))) / 8
+        left = [F.array_distinct(F.regexp_extract_all(_codes(d), F.lit("[0-9a-f]{8}"), F.lit(0))) for d in differ]
+        shared = 2 * (same + F.size(F.array_intersect(left[0], left[1])))
+        total = 2 * same + F.size(left[0]) + F.size(left[1])
+        return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
+
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(walk(F.array_distinct(sections(a)), F.array_distinct(sections(b))))
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -99,17 +115,17 @@ def next_documents(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, text, n, edited, next_runs): each document, its text with the last quarter replaced from the next document,
-    and the codes of the next document's runs. Of the next text only the replacing characters and the codes move."""
+    """(k, text, n, edited, next_fingerprint): each document, its text with the last quarter replaced from the next
+    document, and that one's fingerprint. Of the next text only the replacing characters and the fingerprint move."""
     base = docs.select(F.col(key).alias("k"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     keys = base.select("k", "h", F.length("text").cast("long").alias("n")).groupBy("k", "h").agg(F.min("n").alias("n"))
     order = stage(next_documents(keys), "next")
     gives = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.floor(F.col("n") / 4).cast("int").alias("q"), "n")
     same = lambda a, b: a["k"].eqNullSafe(b["pk"]) & (a["h"] == b["ph"])
     giver = base.join(gives.withColumnsRenamed({"k": "gk", "h": "gh"}), F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")))
-    giver = giver.select("pk", "ph", "n", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), runs(F.col("text")).alias("next_runs")).dropDuplicates(["pk", "ph"])
+    giver = giver.select("pk", "ph", "n", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint")).dropDuplicates(["pk", "ph"])
     rows = base.join(giver, same(base, giver))
-    return rows.select("k", "text", "n", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("q")).cast("int")), "given").alias("edited"), "next_runs")
+    return rows.select("k", "text", "n", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("q")).cast("int")), "given").alias("edited"), "next_fingerprint")
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +133,7 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(documents(spark, sf_dir))
     rows = rows.select(
         F.col("k").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        runs(F.col("text")).alias("_own"), runs(F.col("edited")).alias("_edited"), "next_runs",
+        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
     )
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("next_runs")).alias("near_next")
-    )
+    near = lambda x: likeness(F.col("fingerprint"), F.col(x))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -45,6 +45,8 @@ from .common import documents, stage, whole
 LENGTH = 400
 #: Window starts in a chunk.
 CHUNK = 256
+#: The same for passages of about fifty words, at five bytes a word with the blank behind it.
+PASSAGE, PASSAGE_CHUNK = 256, 128
 #: Contexts in one index, and the most contexts of one core that go to an index.
 MOST = 4096
 _GRAM = 8

@@ -122,12 +122,16 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:
-    """All documents in shards of near equal bytes, by version 1 of the stored slot map."""
+    """All documents in shards of near equal bytes, by version 1 of the stored slot map; `next_shard` is the shard by
+    version 2, which is edited for one more shard."""
     recs = records(documents(spark, sf_dir))
     slots = slot_sizes(recs)
     path = stage_path(spark, "slot-map")
-    store_map(spark, path, 1, first_map(slots, n_shards), slots)
-    return assign(recs, read_map(spark, path)).select(
+    first = first_map(slots, n_shards)
+    store_map(spark, path, 1, first, slots)
+    store_map(spark, path, 2, rebalanced(first, slots, n_shards + 1), slots)
+    after = read_map(spark, path, 2).select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("next_shard"))
+    return assign(recs, read_map(spark, path, 1)).join(F.broadcast(after), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard",
     )
