@@ -405,9 +405,9 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, text) of some classes, each told by one document (key, h) that has its set."""
-    own = classes.select("cid", F.col("key").alias("_key"), F.col("h").alias("_h"))
-    rows = docs.join(own, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))).select("cid", "text")
-    return stage(rows.dropDuplicates(["cid"]), "texts")
+    own = classes.select("cid", F.xxhash64("key", "h").alias("_id"))
+    rows = docs.select(F.xxhash64("key", "h").alias("_id"), "text").join(own, "_id").dropDuplicates(["_id"])
+    return stage(rows.select("cid", "text"), "texts")
 
 
 def unconnected(cells: DataFrame) -> DataFrame:
