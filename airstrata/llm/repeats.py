@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stage, whole
+from .common import WORD, documents, stage, whole
 
 LENGTH = 400
 #: Window starts in a chunk.
@@ -314,8 +314,9 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The documents with their columns, repeated passages cut from `text` at whole characters; null stays null.
+def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_used_up: bool = False, **options: int) -> DataFrame:
+    """The documents with their columns, repeated passages cut from `text` at whole characters; null stays null. With
+    `drop_used_up`, documents go that lose all their words.
 
     Documents that lose nothing pass by as they are; of the others text and spans alone go to Python."""
 
@@ -332,6 +333,8 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", **options:
     some = F.size("_spans") > 0
     # A document without spans hands an empty text over.
     rows = rows.withColumn("_cut", cut(F.when(some, F.col("_row")[text]).otherwise(F.lit("")), "_spans"))
+    if drop_used_up:
+        rows = rows.where(~some | F.col("_cut").rlike(WORD))
     return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

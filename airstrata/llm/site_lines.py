@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blanks, documents, free_name, lines, normal_lines, sql_normal_line, stage, whole, without_places
+from .common import WORD, blanks, documents, free_name, lines, normal_lines, sql_normal_line, stage, whole, without_places
 from .line_rules import host_of
 
 #: A line on this many sites or more is boilerplate.
@@ -69,14 +69,17 @@ def removed(docs: DataFrame, min_sites: int = MIN_SITES, **columns: str) -> Data
     return lost.groupBy(F.col("_key").alias("_gk"), F.col("_text").alias("_gt")).agg(F.collect_list("_i").alias("_lost"))
 
 
-def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with all their columns, `text` without boilerplate, and n_removed_lines."""
+def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, drop_used_up: bool = False) -> DataFrame:
+    """The documents with all their columns, `text` without boilerplate, and n_removed_lines. With `drop_used_up`,
+    documents go that lose all their words."""
     names = docs.columns
     gone = removed(docs, min_sites, key=key, text=text, site=site, min_words=min_words)
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(key).alias("_k"), F.xxhash64(whole(text)).alias("_t"))
     rows = rows.join(gone, F.col("_k").eqNullSafe(F.col("_gk")) & (F.col("_t") == F.col("_gt")), "left")
     own = F.col("_row")[text]
     new = F.when(F.col("_lost").isNull(), own).otherwise(F.array_join(without_places(lines(own), F.col("_lost")), "\n"))
+    if drop_used_up:
+        rows = rows.where(F.col("_lost").isNull() | new.rlike(WORD))
     n_removed = F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost"))
     return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], n_removed.cast("long").alias(free_name(names, "n_removed_lines")))
 
