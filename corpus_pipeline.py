@@ -1,10 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, repeated passages, packing.
 
 Each stage takes what its predecessor kept and returns the columns of documents; the last returns pieces of packed
-sequences. What a stage removes from a text is gone for all later ones, and `n_chars` follows the text.
+sequences. What a stage removes from a text is gone for all later ones, and `n_chars` follows the text. A passage of
+about fifty words or more stays in the first document that holds it and is cut from all others.
 
-Cases: nulls, empty tables, repeated rows and further columns are handled as the operators say; a document whose text
-is used up by a stage stays, empty.
+Cases: nulls, empty tables, repeated rows and further columns are handled as the operators say; a document that loses
+all its words to line dedup or to repeated passages holds nothing more to train on and goes; one that has none before
+is left alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from airstrata.llm import jaccard, line_rules, packing, repeats, site_lines
 from airstrata.llm.common import documents, stage
 
-#: Tokenizer ids cannot be had in SQL; tests hold each stage against a brute-force version.
+#: Tokenizer ids cannot be had in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -29,20 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines of many sites."""
-    return counted(site_lines.deduped(docs).drop("n_removed_lines"))
+    """The documents, without boilerplate lines of many sites."""
+    return counted(site_lines.deduped(docs, drop_used_up=True).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group that links of similar shingles connect."""
-    found = jaccard.joined(docs.select("doc_id", "text"))
-    keep = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select("key").distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("key"))).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur elsewhere too."""
-    return counted(repeats.deduped(docs))
+    """The documents, without the passages that an earlier one, or they themselves before, hold too."""
+    return counted(repeats.deduped(docs, length=repeats.PASSAGE, chunk=repeats.PASSAGE_CHUNK, keep_first=True, drop_used_up=True))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
