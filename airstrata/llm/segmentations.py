@@ -39,7 +39,8 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 BLANK = "▁"
 SCHEMA = "doc_id long, rank int, ids binary, log_prob double, perturbed double, inclusion double"
-_SLICE = 1_500_000
+#: Characters in a slice, which bounds what a worker holds.
+_SLICE = 600_000
 
 
 class Vocabulary:
