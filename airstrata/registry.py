@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["observations", "fires", "feeds"]
+MODULES: list[str] = ["observations", "fires", "feeds", "quality"]
 
 
 def queries() -> dict:

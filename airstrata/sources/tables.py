@@ -57,3 +57,38 @@ def sql(body: str) -> str:
     """A query over r (readings), s (stations), f (detections) and o (daily values); rounds to four digits as `rounded` does."""
     body = body.replace(", 4)", " + 1e-9, 4)")
     return f"WITH {SQL.strip()}{',' if body.lstrip()[:6].upper() != 'SELECT' else ''}\n{body}"
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test signal: 720 hours of each site, with plateaus of one to thirty hours, jumps, sentinels and missing hours."""
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("group"))
+    rows = sites.withColumn("h", F.explode(F.expr("sequence(0L, 719L)")))
+    step = F.floor(F.col("h") / (1 + F.col("station") % 30))
+    base = ((F.col("station") * 7919 + step * 104729) % 400).cast("double")
+    value = F.when((F.col("station") + 3 * F.col("h")) % 53 == 0, None).when((F.col("station") * F.col("h")) % 211 == 5, F.when(F.col("h") % 2 == 0, 999.0).otherwise(-1.0))
+    value = value.when((F.col("station") + F.col("h")) % 97 == 0, base + 500).otherwise(base)
+    hour = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(h as int), 0, 0)")
+    return rows.select("station", "group", hour.alias("hour"), "h", value.alias("pm25"))
+
+
+SIGNAL = """
+g0 AS (SELECT s_suppkey AS station, s_nationkey AS "group", h::BIGINT AS h, ((s_suppkey * 7919 + (h // (1 + s_suppkey % 30)) * 104729) % 400)::DOUBLE AS base FROM supplier, range(720) t(h)),
+q AS (SELECT station, "group", TIMESTAMP '2024-01-01' + to_hours(h::INT) AS hour, h,
+             CASE WHEN (station + 3 * h) % 53 = 0 THEN NULL WHEN (station * h) % 211 = 5 THEN CASE WHEN h % 2 = 0 THEN 999.0 ELSE -1.0 END
+                  WHEN (station + h) % 97 = 0 THEN base + 500 ELSE base END::DOUBLE AS pm25 FROM g0)"""
+
+
+def wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with several measured fields, some of them impossible."""
+    e, v = F.col("event_id"), F.col("value")
+    return table(spark, sf_dir, "events").select(
+        e.alias("id"), F.col("user_id").alias("station"), "ts", F.when(e % 29 == 0, -v).when(e % 31 == 0, v * 20).otherwise(v).alias("pm25"), F.when(e % 7 != 0, v * 1.5).alias("pm10"),
+        ((e * 13) % 140).cast("double").alias("no2"), ((e * 7) % 130 - 10).cast("double").alias("humidity"), ((e * 11) % 150 - 65).cast("double").alias("temp_c"),
+        ((e * 17) % 90 + 40).cast("double").alias("pressure_kpa"), ((e * 3) % 160 - 2).cast("double").alias("wind_speed_ms"), ((e * 37) % 400).cast("double").alias("wind_dir_deg"), F.col("event_type").alias("provider"),
+    )
+
+
+WIDE = """
+x AS (SELECT event_id AS id, user_id AS station, ts, CASE WHEN event_id % 29 = 0 THEN -value WHEN event_id % 31 = 0 THEN value * 20 ELSE value END AS pm25, CASE WHEN event_id % 7 <> 0 THEN value * 1.5 END AS pm10,
+             ((event_id * 13) % 140)::DOUBLE AS no2, ((event_id * 7) % 130 - 10)::DOUBLE AS humidity, ((event_id * 11) % 150 - 65)::DOUBLE AS temp_c,
+             ((event_id * 17) % 90 + 40)::DOUBLE AS pressure_kpa, ((event_id * 3) % 160 - 2)::DOUBLE AS wind_speed_ms, ((event_id * 37) % 400)::DOUBLE AS wind_dir_deg, event_type AS provider FROM events)"""
