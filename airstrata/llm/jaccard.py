@@ -4,8 +4,9 @@
 2. Two sets with a Jaccard index of t or more share one of the first n - ceil(t n) + 1 shingles under any order of all
    shingles. Each class goes to the cells of those; shingles that many documents hold come last in the order, so that
    passages of many documents make no large cells. The order decides the speed, never the result.
-3. Cells of the same classes are one cell: a group of edited copies shares most of its prefixes.
-4. Each shingle hash belongs to one of a power of two of groups, about one for two shingles. A class's point is its
+3. Cells of the same least class are one cell: a group of edited copies, which fills a cell for each shingle of its
+   prefixes with about the same classes, has few least classes.
+4. Each shingle hash belongs to one of a power of two of groups, about one for each shingle. A class's point is its
    counts by group. The sum of the lesser counts over all groups bounds the overlap of two sets; the sum against the
    largest counts below a node of an R-tree bounds it for all points there. A cell's tree is searched with each of its
    points, and of the pairs that the bound lets through, those that connect what is not yet connected go on.
@@ -39,7 +40,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Classes in one tree, children of a tree's node, shingles for each group of a point, pairs verified in one task group.
-BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 2, 256
+BLOCK, FAN, PER_GROUP, GROUP = 2048, 16, 1, 256
 #: Most groups in a tree: points of very long texts are folded there, and compared in full after the search.
 TREE_GROUPS = 1024
 #: Most shingles that come last in the order, and what lossy counting in a task keeps at most.
@@ -319,7 +320,7 @@ def search(cells: DataFrame, percent: int, labelled: bool) -> DataFrame:
                 out.extend((unit[0], a, b) for a, b in cell_pairs(unit[0], rows, percent, bounds))
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["token", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64()))], ["token", "a", "b"])
 
         for batch in batches:
             for token, i, j, *row in zip(*(batch.column(c).to_pylist() for c in names)):
@@ -333,7 +334,7 @@ def search(cells: DataFrame, percent: int, labelled: bool) -> DataFrame:
         end()
         yield made()
 
-    return cells.select(*names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "cid").mapInArrow(pairs, "token int, a long, b long")
+    return cells.select(*names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "cid").mapInArrow(pairs, "token long, a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -369,17 +370,12 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     # Rows of a class have equal tokens and points, so any of them stands for it.
     one = stage(signed.where("n > 0").dropDuplicates(["cid"]), "classes")
     held = stage(shared(one.select("cid", F.explode("tokens").alias("token"))), "cells")
-    # Cells of the same classes, by 128 bits of hash, are the one of the least token.
-    sizes = held.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
-    sizes = stage(sizes.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"), "distinct-cells")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = held.join(sizes, "token").select("token", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-    cells = stage(cells, "kept-cells")
+    cells = united(held)
     points = one.select("cid", "n", "point")
     first = cells.join(points, "cid").select("token", F.col("block").alias("i"), F.col("block").alias("j"), "cid", "n", "point", F.lit(0).alias("side"))
     first = stage(search(first, percent, False), "found")
     pairs = stage(first.select("a", "b").distinct(), "candidates")
-    texts = class_texts(docs, one.join(cells.select("cid").distinct(), "cid", "left_semi"))
+    texts = class_texts(docs, one, pairs)
     checked = stage(verified(pairs, texts, words, percent), "checked")
     good = checked.where("ok").select("a", "b")
     failed = checked.where("not ok").select("a", "b")
@@ -393,7 +389,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     own = points.join(open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open")), "cid")
     second = search(unconnected(open_).join(own, "cid"), percent, True).select("a", "b").distinct()
     second = stage(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
-    more = stage(verified(second, texts, words, percent).where("ok").select("a", "b"), "more")
+    more = stage(verified(second, class_texts(docs, one, second), words, percent).where("ok").select("a", "b"), "more")
     return members, good.union(more)
 
 
@@ -403,9 +399,20 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(held, "token", "left_semi")
 
 
-def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, text) of some classes, each told by one document (key, h) that has its set."""
-    own = classes.select("cid", F.xxhash64("key", "h").alias("_id"))
+def united(held: DataFrame) -> DataFrame:
+    """(token, cid, block, blocks): the cells to search, from the rows (token, cid) of tokens that classes share. Cells
+    of the same least class are one, told by that class."""
+    least = stage(held.groupBy("token").agg(F.min("cid").alias("least")), "least")
+    cells = stage(held.join(least, "token").select(F.col("least").alias("token"), "cid").distinct(), "united-cells")
+    sizes = stage(cells.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large-cells")
+    blocks = F.coalesce("blocks", F.lit(1))
+    return cells.join(sizes, "token", "left").select("token", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+
+
+def class_texts(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cid, text) of the classes in some pairs, each told by one document (key, h) that has its set."""
+    wanted = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "wanted")
+    own = one.join(wanted, "cid", "left_semi").select("cid", F.xxhash64("key", "h").alias("_id"))
     rows = docs.select(F.xxhash64("key", "h").alias("_id"), "text").join(own, "_id").dropDuplicates(["_id"])
     return stage(rows.select("cid", "text"), "texts")
 
