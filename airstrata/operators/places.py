@@ -2,61 +2,62 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import haversine_km
-
-
-def within_radius(a: DataFrame, b: DataFrame, km: float, highest_lat: float = 60.0) -> DataFrame:
-    """Pairs of points (lat, lon in `a`; lat2, lon2 in `b`) at most `km` apart, with km.
-
-    Points of `a` go to the grid cells around theirs, points of `b` to their own; the join is on cells. A cell is at
-    least `km` wide up to `highest_lat`, so nine cells hold all partners."""
-    size = km / 111.0 / math.cos(math.radians(highest_lat))
-    cell = lambda c: F.floor(F.col(c) / size)
-    near = F.explode(F.array(*[F.struct((cell("lat") + i).alias("cy"), (cell("lon") + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.withColumn("_c", near).select("*", "_c.cy", "_c.cx").drop("_c")
-    right = b.withColumn("cy", cell("lat2")).withColumn("cx", cell("lon2"))
-    pairs = left.join(right, ["cy", "cx"]).drop("cy", "cx")
+from ..session import staged
+from .graph import components
+
+
+def within_radius(a: DataFrame, b: DataFrame, km: float, also: Column | None = None) -> DataFrame:
+    """Pairs of points (lat, lon in `a`; lat2, lon2 in `b`) at most `km` apart, with km; `also` is a further condition
+    of the join, such as equal days, by which a cell of very many points is dealt out too.
+
+    The sphere is cut into bands of latitude at least `km` high, and each band into a whole number of cells at least
+    `km` wide at its widest need, the edge nearest a pole of the bands beside it; near a pole a band is one cell. Points
+    of `b` go to their own cell, points of `a` to the cells around theirs in three bands, round the date line."""
+    high = km / 111.0
+    band = lambda c: F.floor((F.col(c) + 90) / high)
+
+    def columns(y: Column) -> Column:
+        """Cells of a band: as many as fit at the latitude of its edge nearest a pole, one band further on."""
+        edge = F.least(F.lit(90.0), F.greatest(F.abs((y - 1) * high - 90), F.abs((y + 2) * high - 90)))
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / high).cast("int"))
+
+    column = lambda c, n: F.pmod(F.floor((F.col(c) + 180) / 360 * n), n)
+    left = a.withColumn("_cy", F.explode(F.array(*[band("lat") + i for i in (-1, 0, 1)]))).withColumn("_n", columns(F.col("_cy")))
+    own = column("lon", F.col("_n"))
+    left = left.withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(own + j, F.col("_n")) for j in (-1, 0, 1)]))))
+    right = b.withColumn("_cy", band("lat2")).withColumn("_cx", column("lon2", columns(F.col("_cy"))))
+    right = right.withColumnsRenamed({"_cy": "_by", "_cx": "_bx"})
+    on = (F.col("_cy") == F.col("_by")) & (F.col("_cx") == F.col("_bx"))
+    pairs = left.join(right, on if also is None else on & also).drop("_cy", "_cx", "_n", "_by", "_bx")
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str, key2: str, km: float, k: int) -> DataFrame:
-    """The k nearest points of `b` within `km` of each point of `a`: kept by aggregation, k rows a key and task."""
-    pairs = within_radius(a, b, km).select(key, F.struct("km", key2).alias("_p"))
-    few = F.slice(F.sort_array(F.collect_list("_p")), 1, k)
-    return pairs.groupBy(key).agg(few.alias("_few")).select(key, F.posexplode("_few").alias("rank", "_p")).select(key, (F.col("rank") + 1).alias("rank"), f"_p.{key2}", "_p.km")
+    """The k nearest points of `b` within `km` of each point of `a`. Spark drops rows beyond the k-th within tasks,
+    before and after the shuffle, so that a key of many neighbours never fills a task."""
+    order = Window.partitionBy(key).orderBy("km", key2)
+    pairs = within_radius(a, b, km).select(key, key2, "km")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", key2, "km")
 
 
 def cell_clusters(cells: DataFrame, group: str) -> DataFrame:
-    """Clusters of cells (cy, cx) that touch, diagonals included, within each group; the label is the least cell.
-
-    A group is a day or a season over one grid, so its cells are bounded by the grid and fit a task."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {c: i for i, c in enumerate(zip(pdf.cy, pdf.cx))}
-        parent = list(range(len(pdf)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (y, x), i in at.items():
-            for j in (at.get((y + dy, x + dx)) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))):
-                if j is not None:
-                    a, b = sorted((root(i), root(j)))
-                    parent[b] = a
-        order = sorted(at)
-        first = {}
-        for c in order:
-            first.setdefault(root(at[c]), c)
-        return pdf.assign(cluster_y=[first[root(i)][0] for i in range(len(pdf))], cluster_x=[first[root(i)][1] for i in range(len(pdf))])
-
-    kinds = dict(cells.dtypes)
-    return cells.select(group, "cy", "cx").distinct().groupBy(group).applyInPandas(label, f"{group} {kinds[group]}, cy long, cx long, cluster_y long, cluster_x long")
+    """Clusters of cells (cy, cx: 0 to 2**20 - 1) that touch, diagonals included, within each group; the label is the
+    least cell. Groups may be large: cells meet their neighbours in joins and labels spread by components."""
+    cell = lambda y, x: (y.cast("long") * (1 << 20) + x).alias("cell")
+    own = staged(cells.select(group, "cy", "cx").distinct().select(group, cell(F.col("cy"), F.col("cx"))), "cells")
+    # Nodes are numbers: a hash of group and cell; the least node of a cluster then tells its least cell.
+    node = lambda c: F.xxhash64(group, c)
+    step = F.explode(F.array(*[F.lit(d) for d in (1, (1 << 20) - 1, 1 << 20, (1 << 20) + 1)]))
+    beside = own.withColumn("step", step).select(group, F.col("cell").alias("from"), (F.col("cell") + F.col("step")).alias("cell"))
+    edges = beside.join(own, [group, "cell"]).select(node("from").alias("a"), node("cell").alias("b"))
+    rows = own.withColumn("node", node("cell")).join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = staged(rows.select(group, "cell", "label"), "labels")
+    least = rows.groupBy(group, "label").agg(F.min("cell").alias("least"))
+    part = lambda c: (F.floor(F.col(c) / (1 << 20)).cast("long"), F.pmod(F.col(c), F.lit(1 << 20)).cast("long"))
+    (cy, cx), (ly, lx) = part("cell"), part("least")
+    return rows.join(least, [group, "label"]).select(group, cy.alias("cy"), cx.alias("cx"), ly.alias("cluster_y"), lx.alias("cluster_x"))

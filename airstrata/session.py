@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[8]", app: str = "airstrata", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,3 +28,16 @@ def build(master: str = "local[8]", app: str = "airstrata", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; `sf_dir` may be any path Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset, a folder
+    within the warehouse, which they share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage, and a lost executor costs a read."""
+    path = f"{shared_dir(df.sparkSession)}/airstrata/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,13 @@ State is bounded by the watermark. Readings later than it are left to the batch
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 LATE = "72 hours"
 
 
@@ -38,7 +39,7 @@ def drained(df: DataFrame, mode: str = "complete") -> DataFrame:
 
     A micro-batch that runs again overwrites its own rows; in complete mode each one overwrites the last one's."""
     spark, name = df.sparkSession, f"feed_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airstrata-")
+    base = shared_dir(spark)
     rows = f"{base}/{name}-rows"
     # So that a feed without any batch reads as empty.
     spark.createDataFrame([], df.schema).write.parquet(f"{rows}/none")
