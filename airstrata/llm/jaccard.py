@@ -179,7 +179,7 @@ def folded(points: list[np.ndarray], groups: int) -> np.ndarray:
 class Bounds:
     """Whether the bound lets a pair of points through; what a task has found is kept, as pairs meet in many cells."""
 
-    def __init__(self, percent: int, most: int = 1_000_000):
+    def __init__(self, percent: int, most: int = 300_000):
         self.percent, self.most, self.known = percent, most, {}
 
     def __call__(self, a: tuple, b: tuple, p: np.ndarray, q: np.ndarray) -> bool:

@@ -19,7 +19,7 @@ import public_tokenizers
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Chunks kept in a worker; beyond it the store is emptied and fills again.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 500_000
 _S = r" \t\n\r\x0b\x0c"
 #: Latin letters and digits, after which a comma or a full stop always starts a piece.
 _PLAIN = "A-Za-z0-9" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
