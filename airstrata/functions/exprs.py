@@ -12,7 +12,7 @@ PM25_POINTS = [(0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.4, 101, 150),
 PM10_POINTS = [(0, 54, 0, 50), (55, 154, 51, 100), (155, 254, 101, 150), (255, 354, 151, 200), (355, 424, 201, 300), (425, 604, 301, 500)]
 # Upper index of each category, and molar masses in g/mol with the molar volume in litres.
 CATEGORIES = [(50, "Good"), (100, "Moderate"), (150, "Unhealthy for Sensitive Groups"), (200, "Unhealthy"), (300, "Very Unhealthy"), (500, "Hazardous")]
-MOLAR_MASS = {"o3": 48.0, "no2": 46.0055, "so2": 64.066, "co": 28.01}
+MOLAR_MASS = {"o3": 47.998, "no2": 46.0055, "so2": 64.066, "co": 28.01}
 MOLAR_VOLUME = 24.45
 EARTH_KM = 6371.0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["observations", "fires", "feeds", "quality", "fire_days"]
+MODULES: list[str] = ["observations", "fires", "feeds", "quality", "fire_days", "indices"]
 
 
 def queries() -> dict:
