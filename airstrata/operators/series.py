@@ -76,3 +76,25 @@ def stuck(df: DataFrame, key: str, ts: str, value: str, hours: int = STUCK_HOURS
 def rolling_mean(df: DataFrame, key: str, ts: str, value: str, rows: int, least: int = 1) -> Column:
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(1 - rows, 0)
     return F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], width: float) -> DataFrame:
+    """Exact percentiles (between ranks, linear) of each group, as columns p10, p50, ..., with the count n.
+
+    No task holds a group's values: values are counted by buckets of `width`, the buckets that hold the wanted ranks are
+    found, and only the values there are counted one by one. Nulls are left out."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", F.floor(F.col("_v") / width))
+    own = Window.partitionBy(*keys).orderBy("_b")
+    buckets = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_base", F.sum("_c").over(own) - F.col("_c")).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(int(round(q * 100))).alias("q"), F.lit(float(q)).alias("share"), F.lit(up).alias("up")) for q in shares for up in (False, True)]))
+    rank = F.when(F.col("_w.up"), F.ceil(F.col("_w.share") * (F.col("n") - 1))).otherwise(F.floor(F.col("_w.share") * (F.col("n") - 1)))
+    hit = buckets.withColumn("_w", wanted).withColumn("_rank", rank).where((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_c")))
+    near = hit.select(*keys, "_b", "_base").distinct()
+    values = rows.join(near, [*keys, "_b"]).groupBy(*keys, "_b", "_base", "_v").agg(F.count("*").alias("_c"))
+    upto = F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    values = values.select(*keys, "_b", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    found = hit.select(*keys, "_b", "n", "_w.q", "_w.up", "_w.share", "_rank").join(values, [*keys, "_b"]).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    at = lambda q, up: F.max(F.when((F.col("q") == q) & (F.col("up") == F.lit(up)), F.col("_v")))
+    part = lambda q: (q * (F.max("n") - 1)) % 1
+    out = [(at(int(round(q * 100)), False) + (at(int(round(q * 100)), True) - at(int(round(q * 100)), False)) * part(q)).alias(f"p{int(round(q * 100))}") for q in shares]
+    return found.groupBy(*keys).agg(*out, F.max("n").alias("n"))

@@ -1,26 +1,34 @@
 """Products of the streaming feed, checked against the same products in batch, and lookups of names."""
 
-
-
 import difflib
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.exprs import rounded
+from ..session import shared_dir
 from ..sources.tables import sql, stations
 from ..streaming import feed
 
 
 def stream_hourly(spark, sf_dir):
-    return feed.drained(feed.hourly(feed.readings(spark, sf_dir))).select("station", "hour", rounded("pm25").alias("pm25"), "n")
+    return feed.drained(feed.hourly(feed.readings(spark, sf_dir)), "update", ["station", "hour"]).select("station", "hour", rounded("pm25").alias("pm25"), "n")
 
 
 def stream_sessions(spark, sf_dir):
     return feed.drained(feed.sessions(feed.readings(spark, sf_dir))).select("station", "begins", "readings", "peak")
 
 
+def stream_upsert(spark, sf_dir):
+    """The feed merged into a store of the latest value of each station, micro-batch by micro-batch."""
+    name = f"{shared_dir(spark)}/airstrata/upsert-{uuid.uuid4().hex}"
+    stream = feed.readings(spark, sf_dir).select("station", "ts", F.when(F.col("event_id") % 4 != 0, F.col("pm25")).alias("pm25"), F.col("event_id").alias("last_id"))
+    feed.upserted(stream, f"{name}/store", ["station"], ["pm25", "last_id"], f"{name}/checkpoint")
+    return feed.current(spark, f"{name}/store").select("station", "pm25", "last_id")
+
+
 def stream_dedupe(spark, sf_dir):
     rows = feed.drained(feed.deduplicated(feed.readings(spark, sf_dir)), "append")
     return rows.groupBy("station").agg(F.count("*").alias("n"), rounded(F.max("pm25")).alias("peak"))
@@ -70,10 +78,11 @@ def name_similarity(spark, sf_dir):
     return alike(rows, "city", "station", "name").select(F.col("a").alias("station"), F.col("b").alias("other"), "ratio")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_sessions, stream_dedupe, name_similarity)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_sessions, stream_dedupe, stream_upsert, name_similarity)}
 ORACLE = {
     "stream_hourly": sql("SELECT station, date_trunc('hour', ts)::TIMESTAMP AS hour, round(avg(pm25), 4) AS pm25, count(pm25) AS n FROM r GROUP BY ALL"),
     "stream_sessions": sql("""a AS (SELECT station, ts, pm25, coalesce((ts - lag(ts) OVER (PARTITION BY station ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS b FROM r WHERE pm25 > 250),
         c AS (SELECT *, sum(b) OVER (PARTITION BY station ORDER BY ts) AS run FROM a) SELECT station, min(ts) AS begins, count(*) AS readings, max(pm25) AS peak FROM c GROUP BY station, run"""),
+    "stream_upsert": sql("e0 AS (SELECT user_id AS station, ts, event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS pm25 FROM events) SELECT station, arg_max(pm25, ts) FILTER (pm25 IS NOT NULL) AS pm25, arg_max(event_id, ts) AS last_id FROM e0 GROUP BY station"),
     "stream_dedupe": sql("SELECT station, count(*) AS n, round(max(pm25), 4) AS peak FROM r GROUP BY station"),
 }

@@ -12,10 +12,13 @@ from ..sources.tables import daily, detections, sql, stations
 
 
 def region_rollup(spark, sf_dir):
-    """Counts and power by month for two kinds of region, in one aggregation over exploded regions."""
-    kinds = F.explode(F.array(F.struct(F.lit("country").alias("kind"), F.col("country").cast("string").alias("region")), F.struct(F.lit("district").alias("kind"), F.col("district").alias("region"))))
-    rows = detections(spark, sf_dir).withColumn("_k", kinds).groupBy(F.date_trunc("month", "day").cast("date").alias("month"), "_k.kind", "_k.region")
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "R").alias("n_high"), F.count_if(F.col("daynight") == "F").alias("n_night"), rounded(F.sum("frp"), 2).alias("frp"), F.max("frp").alias("frp_max"))
+    """Counts and power by month for two kinds of region: folded by both first, so that few rows go to each kind."""
+    fine = detections(spark, sf_dir).groupBy(F.date_trunc("month", "day").cast("date").alias("month"), F.col("country").cast("string").alias("country"), "district").agg(
+        F.count("*").alias("n"), F.count_if(F.col("confidence") == "R").alias("n_high"), F.count_if(F.col("daynight") == "F").alias("n_night"), F.sum("frp").alias("frp"), F.max("frp").alias("frp_max")
+    )
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("region")) for k in ("country", "district")]))
+    rows = fine.withColumn("_k", kinds).groupBy("month", "_k.kind", "_k.region")
+    return rows.agg(F.sum("n").alias("n"), F.sum("n_high").alias("n_high"), F.sum("n_night").alias("n_night"), rounded(F.sum("frp"), 2).alias("frp"), F.max("frp_max").alias("frp_max"))
 
 
 def _by_day(spark, sf_dir):
@@ -135,7 +138,7 @@ def cell_clusters(spark, sf_dir):
 def reconcile_upsert(spark, sf_dir):
     """A batch of revised values merged field by field: a null never erases, an equal value changes nothing."""
     old = daily(spark, sf_dir).select("id", F.when(F.col("id") % 5 != 0, F.col("value")).alias("value"), "day").where("id % 7 != 0")
-    new = daily(spark, sf_dir).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.col("value") + F.when(F.col("id") % 2 == 0, 10).otherwise(0)).alias("new"), F.col("day").alias("new_day")).where("id % 11 < 6")
+    new = daily(spark, sf_dir).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.col("value") + F.when(F.col("id") % 2 == 0, 10).otherwise(0)).alias("new"), F.col("day").alias("new_day")).where("id % 11 < 6 or id % 7 = 0")
     both = old.withColumn("_old", F.lit(True)).join(new.withColumn("_in", F.lit(True)), "id", "full_outer")
     merged = F.coalesce("new", "value")
     state = F.when(F.col("_old").isNull(), "inserted").when(F.col("_in").isNull() | merged.eqNullSafe(F.col("value")), "unchanged").when(F.col("value").isNull(), "filled").otherwise("revised")
@@ -182,7 +185,7 @@ ORACLE = {
     "rings": sql(f"""{_SITES}, c AS (SELECT DISTINCT ON (city) * FROM s ORDER BY city, station), p AS (SELECT city, {_KM} AS km FROM c, z)
         SELECT city, count(*) FILTER (km <= 50) AS within_50, count(*) FILTER (km <= 100) AS within_100, count(*) AS within_200, round(min(km), 4) AS nearest FROM p WHERE km <= 200 GROUP BY city"""),
     "reconcile_upsert": sql("""a AS (SELECT id, CASE WHEN id % 5 <> 0 THEN value END AS value, day FROM o WHERE id % 7 <> 0),
-        b AS (SELECT id, CASE WHEN id % 3 <> 0 THEN value + CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END END AS new, day AS new_day FROM o WHERE id % 11 < 6),
+        b AS (SELECT id, CASE WHEN id % 3 <> 0 THEN value + CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END END AS new, day AS new_day FROM o WHERE id % 11 < 6 OR id % 7 = 0),
         j AS (SELECT coalesce(a.id, b.id) AS id, a.id AS ai, b.id AS bi, value, new, day, new_day FROM a FULL JOIN b ON a.id = b.id)
         SELECT id, coalesce(new_day, day) AS day, round(coalesce(new, value) + 1e-9, 2) AS value, CASE WHEN ai IS NULL THEN 'inserted' WHEN bi IS NULL OR coalesce(new, value) IS NOT DISTINCT FROM value THEN 'unchanged' WHEN value IS NULL THEN 'filled' ELSE 'revised' END AS state FROM j"""),
     "station_hash": sql("SELECT station, substr(sha1(provider || '|' || regexp_replace(lower(trim(name)), '[^a-z0-9]', '', 'g')), 1, 16) AS uid, regexp_replace(lower(trim(name)), '[^a-z0-9]', '', 'g') AS slug FROM s"),

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import category, hour_of, index_of, local_day, rounded, season, truncated
+from ..functions.exprs import CATEGORIES, category, hour_of, index_of, local_day, rounded, season, truncated
 from ..operators import series
 from ..sources.tables import AS_OF, readings, sql, stations
 
-T0, T1 = "2024-01-10 00:00:00", "2024-01-12 23:00:00"
 # The index table as SQL, for the checks.
 _INDEX = "CASE WHEN {x} IS NULL OR {x} < 0 THEN NULL {whens} END::BIGINT"
 
@@ -23,7 +22,7 @@ def _index_sql(x: str) -> str:
     return _INDEX.format(x=x, whens=whens)
 
 
-_CATEGORY = "CASE WHEN {i} IS NULL THEN 'Unknown' WHEN {i} <= 50 THEN 'Good' WHEN {i} <= 100 THEN 'Moderate' WHEN {i} <= 150 THEN 'Unhealthy for Sensitive Groups' WHEN {i} <= 200 THEN 'Unhealthy' WHEN {i} <= 300 THEN 'Very Unhealthy' WHEN {i} <= 500 THEN 'Hazardous' ELSE 'Beyond Index' END"
+_CATEGORY = "CASE WHEN {i} IS NULL THEN 'Unknown' " + " ".join(f"WHEN {{i}} <= {most} THEN '{name}'" for most, name in CATEGORIES) + " ELSE 'Beyond Index' END"
 _HOUR = "h AS (SELECT station, date_trunc('hour', ts)::TIMESTAMP AS hour, avg(pm25) AS pm25, count(pm25) AS n FROM r GROUP BY ALL)"
 _MARKED = f"""{_HOUR},
 a AS (SELECT *, lag(pm25) OVER w AS p1, lag(pm25, 2) OVER w AS p2, lead(pm25) OVER w AS n1 FROM h WINDOW w AS (PARTITION BY station ORDER BY hour)),
@@ -38,14 +37,23 @@ def _hours(spark, sf_dir):
     return series.hourly(readings(spark, sf_dir), "station", "ts", "pm25")
 
 
-def _good(spark, sf_dir):
-    """Hourly means without impossible values, spikes and stuck runs."""
-    marked = series.stuck(series.spikes(series.bounded(_hours(spark, sf_dir), "pm25"), "station", "hour", "pm25"), "station", "hour", "pm25")
+def _good(spark, sf_dir, *days):
+    """Hourly means without impossible values, spikes and stuck runs. With `days`, of these alone: readings of the days
+    and one to each side are read, which is more than the 18 hours that a run needs to count; hours without a reading
+    are no part of a run."""
+    rows = readings(spark, sf_dir)
+    if days:
+        near = [f"ts >= timestamp_ntz'{d} 00:00:00' - interval 1 day and ts < timestamp_ntz'{d} 00:00:00' + interval 2 days" for d in days]
+        rows = rows.where(" or ".join(f"({x})" for x in near))
+    hours = series.hourly(rows, "station", "ts", "pm25")
+    marked = series.stuck(series.spikes(series.bounded(hours, "pm25"), "station", "hour", "pm25"), "station", "hour", "pm25")
+    if days:
+        marked = marked.where(F.col("hour").cast("date").cast("string").isin(*days))
     return marked.withColumn("pm25", F.when(~F.col("spike") & ~F.col("stuck"), F.col("pm25"))).select("station", "hour", "pm25", "n")
 
 
-def _days(spark, sf_dir):
-    return _good(spark, sf_dir).groupBy("station", F.col("hour").cast("date").alias("day")).agg(F.avg("pm25").alias("pm25"), F.max("pm25").alias("pm25_max"), F.count("pm25").alias("hours"))
+def _days(spark, sf_dir, *days):
+    return _good(spark, sf_dir, *days).groupBy("station", F.col("hour").cast("date").alias("day")).agg(F.avg("pm25").alias("pm25"), F.max("pm25").alias("pm25_max"), F.count("pm25").alias("hours"))
 
 
 def _r4(name):
@@ -71,7 +79,7 @@ def daily_station(spark, sf_dir):
 
 def hotspots_city(spark, sf_dir):
     """Cities by their stations' mean on the last day, worst first."""
-    day = _days(spark, sf_dir).where("day = date '2024-01-30'").join(stations(spark, sf_dir), "station")
+    day = _days(spark, sf_dir, "2024-01-30").join(stations(spark, sf_dir), "station")
     rows = day.groupBy("city").agg(rounded(F.avg("pm25"), 4).alias("pm25"), F.count("pm25").alias("stations")).where("stations >= 1")
     return rows.orderBy(F.desc("pm25"), "city").limit(10).withColumn("category", category(index_of(F.col("pm25"), _points())))
 
@@ -123,20 +131,20 @@ def _spine(hours, start, end):
     return hours.select("station").distinct().crossJoin(F.broadcast(ends)).select("station", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour"))  # ends: one row
 
 
-def gapfill(spark, sf_dir, start=T0, end=T1):
+def gapfill(spark, sf_dir, start=None, end=None):
     hours = _hours(spark, sf_dir)
     if start is not None:
         hours = hours.where(f"hour between timestamp_ntz'{start}' and timestamp_ntz'{end}'")
     return _spine(hours, start, end).join(hours, ["station", "hour"], "left").select("station", "hour", _r4("pm25"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def reading_gaps(spark, sf_dir, start=T0, end=T1):
+def reading_gaps(spark, sf_dir, start=None, end=None):
     hours = _hours(spark, sf_dir)
     gone = _spine(hours, start, end).join(hours, ["station", "hour"], "left_anti")
     return gone.groupBy("station").agg(F.count("*").alias("missing"), F.min("hour").alias("first_missing"))
 
 
-def uptime_offline(spark, sf_dir, start=T0, end=T1):
+def uptime_offline(spark, sf_dir, start=None, end=None):
     """Runs of three missing hours or more."""
     hours = _hours(spark, sf_dir)
     filled = _spine(hours, start, end).join(hours, ["station", "hour"], "left")
@@ -155,8 +163,9 @@ def episodes_hour(spark, sf_dir):
 
 
 def diurnal(spark, sf_dir):
-    rows = readings(spark, sf_dir).where("qc != 'INVALID'").groupBy(F.hour("ts").cast("long").alias("hour"))
-    return rows.agg(*[rounded(F.percentile("pm25", F.lit(q)), 4).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)], F.count("pm25").alias("n"))
+    rows = readings(spark, sf_dir).where("qc != 'INVALID'").select(F.hour("ts").cast("long").alias("hour"), "pm25")
+    found = series.percentiles(rows, ["hour"], "pm25", (0.1, 0.5, 0.9), 1.0)
+    return found.select("hour", *[_r4(f"p{q}") for q in (10, 50, 90)], "n")
 
 
 def diurnal_weekend(spark, sf_dir):
@@ -178,7 +187,7 @@ def period_stats_day(spark, sf_dir):
     """Country means by local day: hours, then station-days of six hours or more, then stations."""
     rows = readings(spark, sf_dir).where("qc != 'INVALID'").groupBy("station", hour_of(F.col("ts")).alias("hour")).agg(F.avg("pm25").alias("pm25"))
     days = rows.groupBy("station", local_day(F.col("hour")).alias("day")).agg(F.avg("pm25").alias("pm25"), F.count("pm25").alias("hours")).where("hours >= 2")
-    return days.join(stations(spark, sf_dir), "station").groupBy("country", "day").agg(rounded(F.avg("pm25"), 4).alias("pm25"), F.count_distinct("station").alias("stations"), rounded(F.median("pm25"), 4).alias("median"))
+    return days.join(stations(spark, sf_dir), "station").groupBy("country", "day").agg(rounded(F.avg("pm25"), 4).alias("pm25"), F.count("*").alias("stations"), rounded(F.median("pm25"), 4).alias("median"))
 
 
 def rolling7(spark, sf_dir):
@@ -188,7 +197,7 @@ def rolling7(spark, sf_dir):
 
 def compare_dates(spark, sf_dir):
     """Stations that moved by more than five between two days, largest moves first."""
-    days = _days(spark, sf_dir).select("station", "day", "pm25")
+    days = _days(spark, sf_dir, "2024-01-10", "2024-01-20").select("station", "day", "pm25")
     a, b = (days.where(f"day = date '{d}'").select("station", F.col("pm25").alias(n)) for d, n in (("2024-01-10", "before"), ("2024-01-20", "after")))
     rows = a.join(b, "station").withColumn("delta", rounded(F.col("after") - F.col("before"), 4)).where("abs(delta) > 5")
     return rows.orderBy(F.desc(F.abs("delta")), "station").limit(10).select("station", _r4("before"), _r4("after"), "delta")
@@ -258,7 +267,7 @@ def weekly(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (hourly_agg, qc_spike, qc_flatline, daily_station, hotspots_city, latest_per_station, latest_preferred, top3_per_city, station_map, hotspots_station, band_counts, gapfill, reading_gaps, uptime_offline, episodes_hour, diurnal, diurnal_weekend, history_trend, period_stats_day, rolling7, compare_dates, data_coverage, inventory, freshness, qc_verdict, aqi, merge_qc, json_extract, pivot_sources, unpivot_values, keyset_page, weekly)}
 
-_SPINE = f"k AS (SELECT station, unnest(generate_series(TIMESTAMP '{T0}', TIMESTAMP '{T1}', INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT station FROM h))"
+_SPINE = "k AS (SELECT station, unnest(generate_series((SELECT min(hour) FROM h), (SELECT max(hour) FROM h), INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT station FROM h))"
 _NOW = "n AS (SELECT station, arg_max(pm25, ts) AS pm25 FROM r GROUP BY station)"
 
 ORACLE = {

@@ -43,9 +43,9 @@ def correlations(spark, sf_dir):
 def pair_stats(spark, sf_dir):
     """Lines between two sites of a group over their common hours, from 24 pairs on."""
     rows = signal(spark, sf_dir).where("pm25 between 0 and 900").select("group", "station", "hour", "pm25")
-    first = rows.groupBy("group").agg(F.min("station").alias("a"))
-    a = rows.join(first, (rows.group == first.group) & (rows.station == first.a)).select(rows["group"], "hour", F.col("pm25").alias("x"))
-    pairs = rows.join(first.select("group", "a"), "group").where("station <> a").join(a, ["group", "hour"])
+    rows = rows.join(rows.groupBy("group").agg(F.min("station").alias("a")), "group")
+    first = rows.where("station = a").select("group", "hour", F.col("pm25").alias("x"))
+    pairs = rows.where("station <> a").join(first, ["group", "hour"])
     out = pairs.groupBy("group", "station").agg(F.count("*").alias("n"), F.regr_slope("pm25", "x").alias("m"), F.regr_intercept("pm25", "x").alias("b"), F.regr_r2("pm25", "x").alias("r2"), F.avg(F.abs(F.col("pm25") - F.col("x"))).alias("mae")).where("n >= 24")
     return out.select("group", "station", "n", rounded("m").alias("slope"), rounded("b", 3).alias("intercept"), rounded("r2").alias("r2"), rounded("mae", 3).alias("mae"))
 

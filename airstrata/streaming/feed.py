@@ -1,6 +1,7 @@
-"""The reading feed as a stream: hourly means, exceedance sessions, deduplication.
+"""The reading feed as a stream: hourly means, exceedance sessions, deduplication, upserts of micro-batches.
 
-State is bounded by the watermark. Readings later than it are left to the batch reconciliation.
+State is bounded by the watermark in update and append mode; sessions run in complete mode, which keeps their state (one
+row a session). Readings later than the watermark are left to the batch reconciliation.
 """
 
 from __future__ import annotations
@@ -34,19 +35,61 @@ def deduplicated(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drained(df: DataFrame, mode: str = "complete") -> DataFrame:
+def drained(df: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there and return its rows, which executors write to the shared folder.
 
-    A micro-batch that runs again overwrites its own rows; in complete mode each one overwrites the last one's."""
+    A micro-batch that runs again overwrites its own rows. In complete mode each batch overwrites the last one's; in
+    update mode the latest batch's row of each of `keys` counts."""
     spark, name = df.sparkSession, f"feed_{uuid.uuid4().hex}"
     base = shared_dir(spark)
     rows = f"{base}/{name}-rows"
     # So that a feed without any batch reads as empty.
-    spark.createDataFrame([], df.schema).write.parquet(f"{rows}/none")
+    spark.createDataFrame([], df.schema).withColumn("_batch", F.lit(0).cast("long")).write.parquet(f"{rows}/none")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else number}")
 
     query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{rows}/*")
+    out = spark.read.parquet(f"{rows}/*")
+    if mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+    return out.select(*df.columns)
+
+
+def upserted(stream: DataFrame, path: str, keys: list[str], fields: list[str], checkpoint: str) -> int:
+    """Merge a stream into a Parquet store, micro-batch by micro-batch, field by field: a null never erases, and a batch
+    that runs again changes nothing. Each batch writes the next version beside the one it read; `current` reads the
+    latest whole one. Returns the number of the last version."""
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = current(spark, path, number)
+        rows = batch.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in fields])
+        if before is not None:
+            old = before.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
+            rows = old.join(rows, keys, "full_outer").select(*keys, *[F.coalesce(c, f"_{c}").alias(c) for c in fields])
+        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = versions(spark, path)
+    return max(found, default=-1)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions of a store: those with a success marker."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    found = [str(x.getPath()) for x in store.listStatus(at)]
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [int(f.rsplit("=", 1)[1]) for f in found if "version=" in f and store.exists(new(f"{f}/_SUCCESS"))]
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The latest whole version of a store, or the latest before a number; None where there is none."""
+    found = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={max(found)}") if found else None

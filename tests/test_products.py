@@ -82,15 +82,15 @@ def test_gaps_of_all_hours_equal_brute_force(spark):
     first, last = min(h for _, h in hours), max(h for _, h in hours)
     spine = [first + i * step for i in range((last - first) // step + 1)]
     gone = {s: [h for h in spine if (s, h) not in seen] for s in {s for s, _ in hours}}
-    assert observations.gapfill(spark, SF, None).count() == len(gone) * len(spine)
-    assert {(r.station, r.missing, r.first_missing) for r in observations.reading_gaps(spark, SF, None).collect()} == {(s, len(g), g[0]) for s, g in gone.items() if g}
-    nulls = {(r.station, r.hour) for r in observations.gapfill(spark, SF, None).where("pm25 is null").collect()}
+    assert observations.gapfill(spark, SF).count() == len(gone) * len(spine)
+    assert {(r.station, r.missing, r.first_missing) for r in observations.reading_gaps(spark, SF).collect()} == {(s, len(g), g[0]) for s, g in gone.items() if g}
+    nulls = {(r.station, r.hour) for r in observations.gapfill(spark, SF).where("pm25 is null").collect()}
     runs = set()
     for s in gone:
         own = sorted(h for k, h in nulls if k == s)
         starts = [i for i, h in enumerate(own) if i == 0 or h - own[i - 1] > step] + [len(own)]
         runs |= {(s, own[a], own[b - 1], b - a) for a, b in zip(starts, starts[1:]) if b - a >= 3}
-    assert {(r.station, r.begins, r.ends, r.hours) for r in observations.uptime_offline(spark, SF, None).collect()} == runs
+    assert {(r.station, r.begins, r.ends, r.hours) for r in observations.uptime_offline(spark, SF).collect()} == runs
 
 
 def ratio(a, b):
@@ -124,8 +124,8 @@ def test_drained_feed_is_read_from_files(spark, tmp_path):
         events.repartition(2).write.mode("append").parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
     stream = stream.selectExpr("event_id", "user_id AS station", "timestamp(ts) AS ts", "value AS pm25").withWatermark("ts", "9000 hours")
-    rows, hours = feed.drained(feed.deduplicated(stream), "append"), feed.drained(feed.hourly(stream))
+    rows, hours = feed.drained(feed.deduplicated(stream), "append"), feed.drained(feed.hourly(stream), "update", ["station", "hour"])
     assert rows.inputFiles() and hours.inputFiles()
     assert sorted(r.event_id for r in rows.collect()) == sorted(r.event_id for r in events.collect())
     assert hours.agg({"n": "sum"}).first()[0] == 2 * events.where("value is not null").count()
-    assert feed.drained(feed.hourly(stream.where("false"))).count() == 0
+    assert feed.drained(feed.hourly(stream.where("false")), "update", ["station", "hour"]).count() == 0
