@@ -16,6 +16,9 @@
 A core with more contexts than `MOST` would grow beyond a task: its windows are hashed one by one and counted by
 aggregation, which is exact too.
 
+A string that repeats has parts that do. So longer repeats are looked for within the spans of shorter ones alone
+(`within`), which is exact and spares most of a corpus a second index.
+
 With `keep_first` a window stays where it is held first, by key, then text hash, then place, and goes from all others.
 Windows overlap, so a first one may lose bytes to another window that is held earlier still; of every byte that goes,
 an equal one stays in an earlier holder.
@@ -49,6 +52,7 @@ PASSAGE, PASSAGE_CHUNK = 256, 128
 #: Contexts in one index, and the most contexts of one core that go to an index.
 MOST = 4096
 _GRAM = 8
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
@@ -70,8 +74,8 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def chunks(data: bytes, length: int, chunk: int) -> Iterator[tuple[int, int, int]]:
-    """(core hash, context hash, place) of each chunk of a text. A place is the context's start, its length and the
+def chunks(data: bytes, length: int, chunk: int, base: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(core hash, context hash, place) of each chunk of a text, or of a part of one that starts at `base`. A place is the context's start, its length and the
     core's distance from the start, as one whole number of 32, 16 and 16 bits."""
     if len(data) < length:
         return
@@ -83,7 +87,7 @@ def chunks(data: bytes, length: int, chunk: int) -> Iterator[tuple[int, int, int
     core = at[new] - kind[new] * chunk
     size = length - chunk + 1
     for s, e, c, k in zip(new.tolist(), (last + length).tolist(), core.tolist(), kind[new].tolist()):
-        yield xxhash.xxh3_64_intdigest(data[c : c + size], k) - (1 << 63), xxhash.xxh3_64_intdigest(data[s:e], c - s) - (1 << 63), s << 32 | e - s << 16 | c - s
+        yield xxhash.xxh3_64_intdigest(data[c : c + size], k) - (1 << 63), xxhash.xxh3_64_intdigest(data[s:e], c - s) - (1 << 63), base + s << 32 | e - s << 16 | c - s
 
 
 class RunLengthIndex:
@@ -171,8 +175,9 @@ def matched(contexts: list[tuple[int, bytes, int]], chunk: int, size: int, keep_
     return [(int(hits[a] - s), int(hits[b] - s)) if a <= b else (0, -1) for a, b, s in zip(first, last, base)]
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
+def _keyed(docs: DataFrame, key: str, text: str, within: str | None) -> DataFrame:
+    spans = F.lit(None).cast(SPANS) if within is None else F.col(within)
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"), spans.alias("within"))
 
 
 def _places(keyed: DataFrame, length: int, chunk: int) -> DataFrame:
@@ -182,10 +187,12 @@ def _places(keyed: DataFrame, length: int, chunk: int) -> DataFrame:
         names = ["core", "context", "key", "h", "place"]
         for batch in batches:
             out = [[] for _ in names]
-            for n, (key, h, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "h", "text"))), 1):
-                for core, context, place in chunks(text.encode(), length, chunk):
-                    for x, v in zip(out, (core, context, key, h, place)):
-                        x.append(v)
+            for n, (key, h, text, within) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "h", "text", "within"))), 1):
+                data = text.encode()
+                for a, b in [(0, len(data))] if within is None else [(x["a"], x["b"]) for x in within]:
+                    for core, context, place in chunks(data[a:b], length, chunk, a):
+                        for x, v in zip(out, (core, context, key, h, place)):
+                            x.append(v)
                 if out[0] and (len(out[0]) > 50_000 or n == batch.num_rows):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
                     out = [[] for _ in names]
@@ -193,9 +200,10 @@ def _places(keyed: DataFrame, length: int, chunk: int) -> DataFrame:
     return keyed.mapInArrow(rows, "core long, context long, key long, h long, place long")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk: int = CHUNK, keep_first: bool = False) -> DataFrame:
-    """(key, h, spans): the merged intervals (start, end in bytes) of each document that has any; h is its text's hash."""
-    keyed = _keyed(docs, key, text).where(F.octet_length("text") >= length)
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk: int = CHUNK, keep_first: bool = False, within: str | None = None) -> DataFrame:
+    """(key, h, spans): the merged intervals (start, end in bytes) of each document that has any; h is its text's hash.
+    `within` names a column with the spans of shorter repeats."""
+    keyed = _keyed(docs, key, text, within).where(F.octet_length("text") >= length)
     places = _places(keyed, length, chunk)
     # Rows equal in key and text count once: a place is told by key, h and place.
     own = F.xxhash64("key", "h", "place")
@@ -289,7 +297,7 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
     spans = repeated_spans(docs, key, text, **options).select(F.col("key").alias("_key"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(whole(text)).alias("_t"))
     rows = rows.join(spans, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_h")), "left")
-    return rows.select("_row", F.coalesce("_spans", F.array().cast("array<struct<a:int,b:int>>")).alias("_spans"))
+    return rows.select("_row", F.coalesce("_spans", F.array().cast(SPANS)).alias("_spans"))
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -338,16 +346,24 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_used_
 
 
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses, and a digest of the bytes that are left."""
+    """What every document loses, and a digest of the bytes that are left; `n_passage_bytes` are the bytes of passages
+    of about fifty words that repeat, many of which are shorter than what is removed."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_spans"))):
+            for doc, text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_long", "_short"))):
                 data, own = (text or "").encode(), [(x["a"], x["b"]) for x in spans]
-                out.append((doc, len(data), sum(b - a for a, b in own), len(own), hashlib.sha256(without(data, own)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    rows = with_spans(documents(spark, sf_dir).select("doc_id", "text")).select("_row.doc_id", "_row.text", "_spans")
-    return rows.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                out.append((doc, len(data), sum(b - a for a, b in own), len(own), hashlib.sha256(without(data, own)).hexdigest(), sum(x["b"] - x["a"] for x in passages)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = with_spans(docs, length=PASSAGE, chunk=PASSAGE_CHUNK).select("_row.doc_id", "_row.text", F.col("_spans").alias("_short"))
+    # Written: few of the documents have a span that can hold a longer repeat, and those alone are looked at again.
+    rows = stage(rows, "passages")
+    can = F.exists("_short", lambda x: x["b"] - x["a"] >= LENGTH)
+    some = with_spans(rows.where(can), within="_short").select("_row.*", F.col("_spans").alias("_long"))
+    none = rows.where(~can).withColumn("_long", F.array().cast(SPANS))
+    return some.unionByName(none).mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")

@@ -69,6 +69,22 @@ def test_first_holders_keep_their_passages(spark, monkeypatch, most):
         assert got.get(i, []) == list(zip(edges[::2].tolist(), edges[1::2].tolist())), i
 
 
+def test_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passages = [some(n) for n in (260, 300, 390, 400, 401, 700)]
+    texts = [some(r.randint(0, 300)) + "".join(r.choice(passages) + some(r.randint(0, 40)) for _ in range(r.randint(0, 3))) for _ in range(40)]
+    texts += [None, "", texts[3], passages[5] * 2] + edited_copies(3, 2, 4)
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in repeats.op4_run_length_index(spark, str(tmp_path)).collect()}
+    data = [(t or "").encode() for t in texts]
+    for i, (t, long, short) in enumerate(zip(data, brute(data, 400), brute(data, repeats.PASSAGE))):
+        left = hashlib.sha256(bytes(c for c, gone in zip(t, long) if not gone)).hexdigest()
+        spans = int((np.diff(np.concatenate([[0], long.astype(int)])) == 1).sum())
+        assert tuple(got[i]) == (i, len(t), int(long.sum()), spans, left, int(short.sum())), i
+    assert sum(x.n_removed > 0 for x in got.values()) > 10 and sum(x.n_passage_bytes > x.n_removed for x in got.values()) > 10
+
+
 def test_columns_with_the_operators_own_names_are_kept(spark):
     names = "spans _spans _cut _row key h place core first"
     docs = edge_documents(spark).selectExpr("*", *[f"doc_id AS {c}" for c in names.split()])
