@@ -78,25 +78,27 @@ def _codes(nodes: Column) -> Column:
     return F.regexp_replace(F.array_join(nodes, ""), "[0-9a-f]{8}:|[0-9a-f]{16}=|,", "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, from 0 to 1: twice the runs that they share over the runs of both.
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds how alike two columns of fingerprints are, from 0 to 1: twice the runs that they share over the runs of both.
 
     Sections are sets, so are the paragraphs of sections that differ, and the runs of paragraphs that differ; two texts
-    without runs are alike."""
-    sections = lambda x: F.split(F.substring_index(x, "|", -1), "/")
-
-    def walk(x: Column, y: Column) -> Column:
-        both = [F.array_except(x, y), F.array_except(y, x)]
-        same = F.length(_codes(F.array_intersect(x, y))) / 8
-        paragraphs = [_opened(d, ",", "^[0-9a-f]{8}:") for d in both]
-        differ = [F.array_except(paragraphs[0], paragraphs[1]), F.array_except(paragraphs[1], paragraphs[0])]
-        same += F.length(_codes(F.array_intersect(paragraphs[0], paragraphs[1]))) / 8
-        left = [F.array_distinct(F.regexp_extract_all(_codes(d), F.lit("[0-9a-f]{8}"), F.lit(0))) for d in differ]
-        shared = 2 * (same + F.size(F.array_intersect(left[0], left[1])))
-        total = 2 * same + F.size(left[0]) + F.size(left[1])
-        return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
-
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(walk(F.array_distinct(sections(a)), F.array_distinct(sections(b))))
+    without runs are alike. Each level is a column of its own, so that it is worked out once."""
+    sections = lambda x: F.array_distinct(F.split(F.substring_index(F.col(x), "|", -1), "/"))
+    count = lambda nodes: F.length(_codes(F.col(nodes))) / 8
+    distinct = lambda nodes: F.array_distinct(F.regexp_extract_all(_codes(F.col(nodes)), F.lit("[0-9a-f]{8}"), F.lit(0)))
+    levels = [
+        {"_x": sections(a), "_y": sections(b)},
+        {"_same": F.array_intersect("_x", "_y"), "_x": F.array_except("_x", "_y"), "_y": F.array_except("_y", "_x")},
+        {"_same": count("_same"), "_x": _opened(F.col("_x"), ",", "^[0-9a-f]{8}:"), "_y": _opened(F.col("_y"), ",", "^[0-9a-f]{8}:")},
+        {"_also": F.array_intersect("_x", "_y"), "_x": F.array_except("_x", "_y"), "_y": F.array_except("_y", "_x")},
+        {"_same": F.col("_same") + count("_also"), "_x": distinct("_x"), "_y": distinct("_y")},
+    ]
+    out = df
+    for level in levels:
+        out = out.withColumns(level)
+    total = 2 * F.col("_same") + F.size("_x") + F.size("_y")
+    near = F.when(total == 0, F.lit(1.0)).otherwise(2 * (F.col("_same") + F.size(F.array_intersect("_x", "_y"))) / total)
+    return out.withColumn(name, near).drop("_x", "_y", "_same", "_also")
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -135,5 +137,5 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
     )
-    near = lambda x: likeness(F.col("fingerprint"), F.col(x))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    rows = with_likeness(with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -134,8 +134,8 @@ def test_likeness_holds_for_long_texts(spark):
     r = np.random.default_rng(9)
     texts = ["\n".join(" ".join(f"{x:x}" for x in r.integers(0, 1 << 40, 24).tolist()) for _ in range(12_000)) for _ in range(2)]
     rows = merkle.with_next(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    own = merkle.fingerprint(F.col("text"))
-    got = rows.select(merkle.likeness(own, F.col("next_fingerprint")).alias("next"), merkle.likeness(own, merkle.fingerprint(F.col("edited"))).alias("edited")).collect()
+    rows = rows.select(merkle.fingerprint(F.col("text")).alias("own"), merkle.fingerprint(F.col("edited")).alias("other"), "next_fingerprint")
+    got = merkle.with_likeness(merkle.with_likeness(rows, "own", "next_fingerprint", "next"), "own", "other", "edited").collect()
     assert len(got) == 2 and all(len(t) > 2_500_000 for t in texts)
     assert all(x.next < 0.001 and abs(x.edited - 0.75) < 0.01 for x in got)
 
