@@ -68,14 +68,24 @@ def edits(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(own, lambda i: i.isNotNull()))
 
 
-def _opened(nodes: Column, mark: str, behind: str = "") -> Column:
-    """The distinct children of all nodes of an array."""
-    return F.array_distinct(F.flatten(F.transform(nodes, lambda s: F.split(F.regexp_replace(s, behind, "") if behind else s, mark))))
+def _sections_runs(nodes: Column) -> Column:
+    """How many runs some sections hold: what is left of their length without nodes and signs."""
+    paragraphs = lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) + 1
+    return F.aggregate(nodes, F.lit(0), lambda n, s: n + ((F.length(s) - 8 - 18 * paragraphs(s)) / 8).cast("int"))
 
 
-def _codes(nodes: Column) -> Column:
-    """The codes below some nodes, as one string of eight digits each."""
-    return F.regexp_replace(F.array_join(nodes, ""), "[0-9a-f]{8}:|[0-9a-f]{16}=|,", "")
+def _paragraphs_runs(nodes: Column) -> Column:
+    return F.aggregate(nodes, F.lit(0), lambda n, p: n + ((F.length(p) - 17) / 8).cast("int"))
+
+
+def _opened(sections: Column) -> Column:
+    """The distinct paragraphs of some sections."""
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.split(F.substr(s, F.lit(10)), ","))))
+
+
+def _codes(paragraphs: Column) -> Column:
+    """The distinct codes of some paragraphs."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(paragraphs, lambda p: F.substr(p, F.lit(18))), ""), F.lit(".{8}"), F.lit(0)))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -84,14 +94,12 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     Sections are sets, so are the paragraphs of sections that differ, and the runs of paragraphs that differ; two texts
     without runs are alike. Each level is a column of its own, so that it is worked out once."""
     sections = lambda x: F.array_distinct(F.split(F.substring_index(F.col(x), "|", -1), "/"))
-    count = lambda nodes: F.length(_codes(F.col(nodes))) / 8
-    distinct = lambda nodes: F.array_distinct(F.regexp_extract_all(_codes(F.col(nodes)), F.lit("[0-9a-f]{8}"), F.lit(0)))
     levels = [
         {"_x": sections(a), "_y": sections(b)},
         {"_same": F.array_intersect("_x", "_y"), "_x": F.array_except("_x", "_y"), "_y": F.array_except("_y", "_x")},
-        {"_same": count("_same"), "_x": _opened(F.col("_x"), ",", "^[0-9a-f]{8}:"), "_y": _opened(F.col("_y"), ",", "^[0-9a-f]{8}:")},
+        {"_same": _sections_runs(F.col("_same")), "_x": _opened(F.col("_x")), "_y": _opened(F.col("_y"))},
         {"_also": F.array_intersect("_x", "_y"), "_x": F.array_except("_x", "_y"), "_y": F.array_except("_y", "_x")},
-        {"_same": F.col("_same") + count("_also"), "_x": distinct("_x"), "_y": distinct("_y")},
+        {"_same": F.col("_same") + _paragraphs_runs(F.col("_also")), "_x": _codes(F.col("_x")), "_y": _codes(F.col("_y"))},
     ]
     out = df
     for level in levels:
