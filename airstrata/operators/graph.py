@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import discard, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     In turn all larger neighbours of a node move to its least neighbour, and all smaller ones too; this leaves stars in
     about as many rounds as the logarithm of the longest path. Least values combine within tasks, so a hub is a row a
-    task. Each round is written and read back; a count and a checksum are all that reach the driver."""
+    task. Each round is written and read back, and the one before deleted; a count and a checksum are all that reach the
+    driver."""
     now, seen = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges"), None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
@@ -22,7 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m").toDF("u", "v"))
-        now = staged(small.where("u <> v").distinct(), "edges")
+        before, now = now, staged(small.where("u <> v").distinct(), "edges")
+        discard(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())

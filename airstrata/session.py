@@ -37,7 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage, and a lost executor costs a read."""
+    """Write a table into the shared folder and read it back: cuts the lineage, and a lost executor costs a read. The
+    folder stays until `discard`, or until whoever owns the shared folder clears it."""
     path = f"{shared_dir(df.sparkSession)}/airstrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
