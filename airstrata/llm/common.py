@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: White space of all word rules: blank and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -18,23 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset, a folder
-    within the warehouse, which they share too."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage, so that what is random or dear in it
-    runs once, and a lost executor costs no more than a read."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a table into the shared folder and read it back; delete those that nothing reads any more.
+stage, discard = session.staged, session.discard
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/airstrata/{name}-{uuid.uuid4().hex}"
+    return f"{session.shared_dir(spark)}/airstrata/{name}-{uuid.uuid4().hex}"
 
 
 def whole(text: str = "text") -> Column:

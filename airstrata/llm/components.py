@@ -1,39 +1,5 @@
-"""Connected components of a table of edges, by alternating large and small stars."""
+"""Connected components of links between documents: those of the library's graphs."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stage
-
-
-def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Each neighbour of a node moves to the least of the node and its neighbours; the node too in the small step.
-
-    Least values combine within tasks, and the join that hands them back is one that AQE can split, so a hub's
-    neighbours are never gathered."""
-    if larger_only:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): each node of `edges` with the least node that it reaches. Nodes are whole numbers.
-
-    Every step is written to the shared folder and read back. It ends when a round changes nothing, which takes about
-    as many rounds as the logarithm of the longest path. Only a count and a checksum reach the driver."""
-    now = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        now = stage(_to_least(_to_least(now, True), False), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(state):
-            break
-        seen = tuple(state)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+__all__ = ["components"]

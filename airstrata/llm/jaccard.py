@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stage, whole
+from .common import discard, documents, stage, whole
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -371,12 +371,14 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     one = stage(signed.where("n > 0").dropDuplicates(["cid"]), "classes")
     held = stage(shared(one.select("cid", F.explode("tokens").alias("token"))), "cells")
     cells = united(held)
+    discard(held)
     points = one.select("cid", "n", "point")
     first = cells.join(points, "cid").select("token", F.col("block").alias("i"), F.col("block").alias("j"), "cid", "n", "point", F.lit(0).alias("side"))
     first = stage(search(first, percent, False), "found")
     pairs = stage(first.select("a", "b").distinct(), "candidates")
     texts = class_texts(docs, one, pairs)
     checked = stage(verified(pairs, texts, words, percent), "checked")
+    discard(texts)
     good = checked.where("ok").select("a", "b")
     failed = checked.where("not ok").select("a", "b")
     # Cells with a failed pair, and those of several blocks, are searched again between components. Points join last.
@@ -389,7 +391,10 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     own = points.join(open_.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("open")), "cid")
     second = search(unconnected(open_).join(own, "cid"), percent, True).select("a", "b").distinct()
     second = stage(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second")
-    more = stage(verified(second, class_texts(docs, one, second), words, percent).where("ok").select("a", "b"), "more")
+    texts = class_texts(docs, one, second)
+    more = stage(verified(second, texts, words, percent).where("ok").select("a", "b"), "more")
+    # What the result reads from here on: signatures, checked pairs and the further links.
+    discard(one, first, pairs, texts, open_, second)
     return members, good.union(more)
 
 
@@ -404,6 +409,7 @@ def united(held: DataFrame) -> DataFrame:
     of the same least class are one, told by that class."""
     least = stage(held.groupBy("token").agg(F.min("cid").alias("least")), "least")
     cells = stage(held.join(least, "token").select(F.col("least").alias("token"), "cid").distinct(), "united-cells")
+    discard(least)
     sizes = stage(cells.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large-cells")
     blocks = F.coalesce("blocks", F.lit(1))
     return cells.join(sizes, "token", "left").select("token", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))

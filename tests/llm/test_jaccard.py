@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from airstrata import session
 from airstrata.llm import jaccard
 from airstrata.llm.components import components
 from tests.llm.fixtures import edge_documents, empty_documents
@@ -77,6 +79,15 @@ def test_one_of_each_component_stays(spark):
     assert jaccard.one_of_each(empty_documents(spark)).count() == 0
 
 
+def test_staged_tables_are_deleted_but_for_what_the_result_reads(spark):
+    folder = Path(session.shared_dir(spark).removeprefix("file:")) / "airstrata"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.createDataFrame(list(corpus(1).items()), "doc_id long, text string")
+    assert jaccard.joined(docs).count() == docs.count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"cells", "classes", "texts", "found", "candidates", "second", "open-several", "least"} and {"signatures", "checked", "more"} <= left
+
+
 def test_tree_finds_all_that_the_bound_lets_through():
     r = np.random.default_rng(3)
     points = r.poisson(4, (700, 16)).astype(np.uint16)
