@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build(master: str = "local[8]", app: str = "airstrata", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session in UTC with AQE; a cluster brings its own settings through spark-submit."""
+def build(master: str = "local[8]", app: str = "airstrata", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session in UTC with AQE; a cluster brings its own settings through spark-submit. `shared` is the folder
+    of staged tables, where the defaults name none."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
