@@ -94,8 +94,9 @@ def curve_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.mapInArrow(place, "doc_id long, text string, curve long")
 
 
-def encoded_along_curve(placed: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Range-sort by the curve and write each document's ids with its place in its part."""
+def encoded_along_curve(placed: DataFrame, path: str, vocabulary: str | None = None, frugal: bool = False) -> None:
+    """Range-sort by the curve and write each document's ids with its place in its part. With `frugal` a worker forgets
+    the chunks that it knows after each task: that takes longer, and leaves the memory to the stages that follow."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, start = encoder(vocabulary), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
@@ -110,6 +111,8 @@ def encoded_along_curve(placed: DataFrame, path: str, vocabulary: str | None = N
                     ["doc_id", "part", "local_start", "n_ids", "ids"],
                 )
                 at += len(codes)
+        if frugal:
+            enc.known = {}
 
     df = placed.withColumn("h", F.xxhash64("text")).repartitionByRange("curve", "h", "doc_id").sortWithinPartitions("curve", "h", "doc_id")
     df.withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part").mapInArrow(encode, ORDERED).write.option("compression", "zstd").parquet(path)
@@ -148,10 +151,10 @@ def packed(spark: SparkSession, path: str, length: int = SEQUENCE, with_ids: boo
     return rows.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, with_ids: bool = False, frugal: bool = False) -> DataFrame:
     """Documents in sequences of `length` ids along the curve: a row for each piece, with its ids if asked for."""
     path = stage_path(docs.sparkSession, "curve")
-    encoded_along_curve(curve_keys(docs, key, text), path, vocabulary)
+    encoded_along_curve(curve_keys(docs, key, text), path, vocabulary, frugal)
     return packed(docs.sparkSession, path, length, with_ids)
 
 
