@@ -47,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids, along the curve."""
-    return packing.pack(docs)
+    return packing.pack(docs, frugal=True)
 
 
 STAGES = [
