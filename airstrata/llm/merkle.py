@@ -131,10 +131,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     keys = base.select("k", "h", F.length("text").cast("long").alias("n")).groupBy("k", "h").agg(F.min("n").alias("n"))
     order = stage(next_documents(keys), "next")
     gives = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.floor(F.col("n") / 4).cast("int").alias("q"), "n")
-    same = lambda a, b: a["k"].eqNullSafe(b["pk"]) & (a["h"] == b["ph"])
-    giver = base.join(gives.withColumnsRenamed({"k": "gk", "h": "gh"}), F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")))
-    giver = giver.select("pk", "ph", "n", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint")).dropDuplicates(["pk", "ph"])
-    rows = base.join(giver, same(base, giver))
+    # One set of keys, 128 bits of hash, for all joins and the folding of repeated rows: each side is shuffled once.
+    two = lambda k, h: [F.xxhash64(k, h).alias("_p"), F.xxhash64(h, k, F.lit(1)).alias("_q")]
+    gives = gives.select(*two("k", "h"), *[F.col(c) for c in ("pk", "ph", "n", "q")])
+    giver = base.select(*two("k", "h"), "text").join(gives, ["_p", "_q"])
+    giver = giver.select(*two("pk", "ph"), "n", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint")).dropDuplicates(["_p", "_q"])
+    rows = base.select(*two("k", "h"), "k", "text").join(giver, ["_p", "_q"])
     return rows.select("k", "text", "n", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("q")).cast("int")), "given").alias("edited"), "next_fingerprint")
 
 
