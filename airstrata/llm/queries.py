@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_rules, merkle, packing, repeats, segmentations, sentence_spans, sharding, site_lines, token_store
+from . import best_fit, importance, jaccard, line_rules, merkle, packing, repeats, segmentations, sentence_spans, sharding, site_lines, token_store, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_virtual_slots": sharding.op8_virtual_slots,
         "op9_elias_fano": token_store.op9_elias_fano,
         "op10_count_vector_tree": jaccard.op10_count_vector_tree,
+        "op11_word_tries": importance.op11_word_tries,
+        "op12_exact_scatter": whitening.op12_exact_scatter,
+        "op13_residual_packing": best_fit.op13_residual_packing,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_frequency": line_rules.OP3_SQL,
         "op5_sentence_spans": sentence_spans.OP5_SQL,
         "op6_site_spread": site_lines.OP6_SQL,
+        "op11_word_tries": importance.OP11_SQL,
     }
