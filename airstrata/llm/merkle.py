@@ -125,8 +125,9 @@ def next_documents(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, text, n, edited, next_fingerprint): each document, its text with the last quarter replaced from the next
-    document, and that one's fingerprint. Of the next text only the replacing characters and the fingerprint move."""
+    """(k, text, n, edited, next_key, next_fingerprint): each document, its text with the last quarter replaced from the
+    next document, and that one's key and fingerprint. Of the next text only the replacing characters and the fingerprint
+    move; documents in both roles have the same columns, so that texts are shuffled once and read twice."""
     base = docs.select(F.col(key).alias("k"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     keys = base.select("k", "h", F.length("text").cast("long").alias("n")).groupBy("k", "h").agg(F.min("n").alias("n"))
     order = stage(next_documents(keys), "next")
@@ -134,18 +135,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # One set of keys, 128 bits of hash, for all joins and the folding of repeated rows: each side is shuffled once.
     two = lambda k, h: [F.xxhash64(k, h).alias("_p"), F.xxhash64(h, k, F.lit(1)).alias("_q")]
     gives = gives.select(*two("k", "h"), *[F.col(c) for c in ("pk", "ph", "n", "q")])
-    giver = base.select(*two("k", "h"), "text").join(gives, ["_p", "_q"])
-    giver = giver.select(*two("pk", "ph"), "n", "q", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint")).dropDuplicates(["_p", "_q"])
-    rows = base.select(*two("k", "h"), "k", "text").join(giver, ["_p", "_q"])
-    return rows.select("k", "text", "n", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("q")).cast("int")), "given").alias("edited"), "next_fingerprint")
+    own = base.select(*two("k", "h"), "k", "text")
+    giver = own.join(gives, ["_p", "_q"])
+    giver = giver.select(*two("pk", "ph"), "n", "q", F.col("k").alias("next_key"), F.substring(F.col("text"), F.lit(1), F.col("q")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint")).dropDuplicates(["_p", "_q"])
+    rows = own.join(giver, ["_p", "_q"])
+    return rows.select("k", "text", "n", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("q")).cast("int")), "given").alias("edited"), "next_key", "next_fingerprint")
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     rows = with_next(documents(spark, sf_dir))
     rows = rows.select(
-        F.col("k").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("k").alias("doc_id"), F.col("next_key").alias("next_id"), F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
     )
     rows = with_likeness(with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
