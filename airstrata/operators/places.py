@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import haversine_km
-from ..session import staged
+from ..session import discard, staged
 from .graph import components
+from .polygons import KM_PER_DEGREE
 
 
-def within_radius(a: DataFrame, b: DataFrame, km: float, also: Column | None = None) -> DataFrame:
-    """Pairs of points (lat, lon in `a`; lat2, lon2 in `b`) at most `km` apart, with km; `also` is a further condition
-    of the join, such as equal days, by which a cell of very many points is dealt out too.
-
-    The sphere is cut into bands of latitude at least `km` high, and each band into a whole number of cells at least
-    `km` wide at its widest need, the edge nearest a pole of the bands beside it; near a pole a band is one cell. Points
-    of `b` go to their own cell, points of `a` to the cells around theirs in three bands, round the date line."""
+def grid(km: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """A grid of the sphere for a distance, as three functions: the band of a latitude, how many columns a band has, and
+    the column of a longitude among that many. Bands are `km` high at least; a band has as many columns as fit, `km` wide
+    at least, at the latitude of its edge nearest a pole, one band further on."""
     high = km / 111.0
-    band = lambda c: F.floor((F.col(c) + 90) / high)
 
     def columns(y: Column) -> Column:
-        """Cells of a band: as many as fit at the latitude of its edge nearest a pole, one band further on."""
         edge = F.least(F.lit(90.0), F.greatest(F.abs((y - 1) * high - 90), F.abs((y + 2) * high - 90)))
         return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / high).cast("int"))
 
-    column = lambda c, n: F.pmod(F.floor((F.col(c) + 180) / 360 * n), n)
-    left = a.withColumn("_cy", F.explode(F.array(*[band("lat") + i for i in (-1, 0, 1)]))).withColumn("_n", columns(F.col("_cy")))
-    own = column("lon", F.col("_n"))
+    return lambda lat: F.floor((lat + 90) / high), columns, lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+
+
+def within_radius(a: DataFrame, b: DataFrame, km: float, also: Column | None = None) -> DataFrame:
+    """Pairs of points (lat, lon in `a`; lat2, lon2 in `b`) at most `km` apart, with km; `also` is a further condition
+    of the join, such as equal days, by which a cell of very many points is dealt out too.
+
+    Points of `b` go to their own cell of the grid, points of `a` to the cells around theirs in three bands, round the date
+    line; near a pole a band is one cell."""
+    band, columns, column = grid(km)
+    left = a.withColumn("_cy", F.explode(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)]))).withColumn("_n", columns(F.col("_cy")))
+    own = column(F.col("lon"), F.col("_n"))
     left = left.withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(own + j, F.col("_n")) for j in (-1, 0, 1)]))))
-    right = b.withColumn("_cy", band("lat2")).withColumn("_cx", column("lon2", columns(F.col("_cy"))))
+    right = b.withColumn("_cy", band(F.col("lat2"))).withColumn("_cx", column(F.col("lon2"), columns(F.col("_cy"))))
     right = right.withColumnsRenamed({"_cy": "_by", "_cx": "_bx"})
     on = (F.col("_cy") == F.col("_by")) & (F.col("_cx") == F.col("_bx"))
     pairs = left.join(right, on if also is None else on & also).drop("_cy", "_cx", "_n", "_by", "_bx")
@@ -45,6 +53,78 @@ def nearest(a: DataFrame, b: DataFrame, key: str, key2: str, km: float, k: int)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", key2, "km")
 
 
+def nearest_anywhere(a: DataFrame, b: DataFrame, key: str, key2: str, k: int, km: float | None = None) -> DataFrame:
+    """(key, rank, key2, km): the k nearest points of `b` (lat2, lon2) to each point of `a` (lat, lon), however far.
+
+    The search goes by rings that double: a point meets the points of `b` within the ring's distance and is done once
+    these are k, since all others are further away. Only points that are not done go on, so where `b` is dense around all
+    of `a` one ring does; the last ring is the whole sphere. The first is as wide as k points of `b` need on average, over
+    the degrees that have any, or `km`. Points without a place have no neighbours; equal distances go by the least key2."""
+    points = b.select(key2, "lat2", "lon2").where("lat2 is not null and lon2 is not null")
+    n, degrees = points.agg(F.count("*"), F.count_distinct(F.floor("lat2"), F.floor("lon2"))).first()
+    left = staged(a.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct(), "not-done")
+    km, k, done = km or max(1.0, 111.0 * math.sqrt(max(degrees, 1) * k / (max(n, 1) * math.pi))), min(k, n), None
+    kind = nearest(left, points, key, key2, km, max(k, 1))
+    while k:
+        found = staged(nearest(left, points, key, key2, km, k), "nearest")
+        whole = found.where(F.col("rank") == k).select(key)
+        ended = found.join(whole, key, "left_semi")
+        done = ended if done is None else done.union(ended)
+        if km > 20_038:
+            break
+        before, left = left, staged(left.join(whole, key, "left_anti"), "not-done")
+        discard(before)
+        if left.isEmpty():
+            break
+        km *= 2
+    return kind.limit(0) if done is None else done
+
+
+def near_segments(points: DataFrame, segments: DataFrame, km: float, also: Column | None = None) -> DataFrame:
+    """Pairs of points (lat, lon) and segments (lat1, lon1 to lat2, lon2) at most `km` apart, with `km`, and `along`, the
+    place of the nearest point on the segment from 0 at its start to 1 at its end; each pair once. `also` is a further
+    condition of the join, such as equal days, by which a cell of very many points is dealt out too.
+
+    A segment goes to the cells of the grid that it passes and those beside them, band by band, so a long one does not
+    fill its box; points go to their own cell. Segments take the short way round the date line. Distances are on a plane
+    scaled at the point's latitude, for segments of up to some hundred kilometres; a segment of no length is a point."""
+    band, columns, column = grid(km)
+    high = km / 111.0
+    turn = lambda x: F.pmod(x + 180, F.lit(360.0)) - 180
+    rows = segments.withColumn("_dx", turn(F.col("lon2") - F.col("lon1"))).withColumn("_dy", F.col("lat2") - F.col("lat1"))
+    low, top = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = rows.withColumn("_cy", F.explode(F.sequence(band(low) - 1, band(top) + 1))).withColumn("_n", columns(F.col("_cy")))
+    # The part of the segment within the band and those beside it, as shares of its length.
+    share = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(y - F.col("lat1"), F.col("_dy")), F.lit(0.0))))
+    south, north = share((F.col("_cy") - 1) * high - 90), share((F.col("_cy") + 2) * high - 90)
+    level = F.col("_dy") == 0
+    ends = [F.col("lon1") + F.col("_dx") * F.when(level, 0.0).otherwise(south), F.col("lon1") + F.col("_dx") * F.when(level, 1.0).otherwise(north)]
+    place = lambda x: F.floor((x + 180) / 360 * F.col("_n"))
+    first, last = place(F.least(*ends)) - 1, place(F.greatest(*ends)) + 1
+    cells = F.when(last - first >= F.col("_n"), F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.col("_n").cast("long"))))
+    rows = rows.withColumn("_cx", F.explode(cells)).drop("_n")
+    at = points.withColumn("_py", band(F.col("lat"))).withColumn("_px", column(F.col("lon"), columns(F.col("_py"))))
+    on = (F.col("_cy") == F.col("_py")) & (F.col("_cx") == F.col("_px"))
+    pairs = at.join(rows, on if also is None else on & also)
+    scale = F.cos(F.radians("lat"))
+    dx, px, py = F.col("_dx") * scale, turn(F.col("lon") - F.col("lon1")) * scale, F.col("lat") - F.col("lat1")
+    pairs = pairs.withColumn("along", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * F.col("_dy"), dx * dx + F.col("_dy") * F.col("_dy")), F.lit(0.0)))))
+    away = F.hypot(px - F.col("along") * dx, py - F.col("along") * F.col("_dy")) * KM_PER_DEGREE
+    return pairs.withColumn("km", away).where(F.col("km") <= km).drop("_cy", "_cx", "_py", "_px", "_dx", "_dy")
+
+
+def segments_of(paths: DataFrame, keys: list[str], step: str, fields: list[str]) -> DataFrame:
+    """The segments of paths (lat, lon by `step`): (keys, step, lat1, lon1, lat2, lon2) with each field at their start and,
+    as field_2, at their end. Steps without a place are passed over; a path of one step is a segment of no length."""
+    rows = paths.where("lat is not null and lon is not null")
+    order = Window.partitionBy(*keys).orderBy(step)
+    nexts = {c: F.lead(c).over(order) for c in ("lat", "lon", *fields)}
+    rows = rows.withColumns({f"_{c}": v for c, v in nexts.items()}).withColumn("_alone", F.row_number().over(order) == 1)
+    rows = rows.where("_lat is not null or _alone")
+    end = lambda c: F.when(F.col("_lat").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
+    return rows.select(*keys, step, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), end("lat").alias("lat2"), end("lon").alias("lon2"), *fields, *[end(c).alias(f"{c}_2") for c in fields])
+
+
 def cell_clusters(cells: DataFrame, group: str) -> DataFrame:
     """Clusters of cells (cy, cx: 0 to 2**20 - 1) that touch, diagonals included, within each group; the label is the
     least cell. Groups may be large: cells meet their neighbours in joins and labels spread by components."""

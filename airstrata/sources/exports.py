@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .publish import publish
+from .texts import put
 
 #: Rows of an export unless asked otherwise, and at most.
 DEFAULT_ROWS, MOST_ROWS = 500_000, 5_000_000
@@ -23,15 +25,17 @@ def write_csv(df: DataFrame, path: str, max_rows: int = DEFAULT_ROWS, order: lis
 
 def streamed_csv(df: DataFrame, max_rows: int = DEFAULT_ROWS, flush: int = 500) -> Iterator[str]:
     """The same as text in pieces of `flush` rows; the driver holds one partition's rows at a time."""
-    names, held = df.columns, [",".join(df.columns)]
-    cell = lambda v: "" if v is None else f'"{v}"'.replace('""', '"') if any(c in str(v) for c in ',"\n') else str(v)
-    for row in df.limit(min(max_rows, MOST_ROWS)).toLocalIterator(prefetchPartitions=False):
-        held.append(",".join(cell(row[c]) for c in names))
-        if len(held) > flush:
-            yield "\n".join(held) + "\n"
-            held = []
-    if held:
-        yield "\n".join(held) + "\n"
+    text = io.StringIO(newline="")
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(df.columns)
+    for n, row in enumerate(df.limit(min(max_rows, MOST_ROWS)).toLocalIterator(prefetchPartitions=False), 1):
+        out.writerow(row)
+        if n % flush == 0:
+            yield text.getvalue()
+            text.seek(0)
+            text.truncate()
+    if text.tell():
+        yield text.getvalue()
 
 
 def write_typed(df: DataFrame, path: str, types: dict[str, str]) -> None:
@@ -39,19 +43,6 @@ def write_typed(df: DataFrame, path: str, types: dict[str, str]) -> None:
     df.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()]).write.mode("overwrite").option("compression", "snappy").option("parquet.enable.dictionary", True).parquet(path)
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text beside its place and rename it there, so that readers see the old one or the new."""
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at, beside = new(path), new(f"{path}.{uuid.uuid4().hex}")
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = store.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    store.delete(at, False)
-    if not store.rename(beside, at):
-        raise OSError(f"{path} could not be replaced")
-
-
 def publish_days(df: DataFrame, path: str, provenance: dict, station_columns: list[str]) -> None:
     """Daily partitions, then a slim list of stations, then the provenance of the screening, with counts by day."""
     publish(df, path, "date")
@@ -59,20 +50,20 @@ def publish_days(df: DataFrame, path: str, provenance: dict, station_columns: li
     done = spark.read.parquet(path)
     done.select(*station_columns).distinct().coalesce(1).write.mode("overwrite").json(f"{path}/_stations")
     days = {str(r.date): r.n for r in done.groupBy("date").agg(F.count("*").alias("n")).collect()}  # one row a day
-    _put(spark, f"{path}/_provenance.json", json.dumps(provenance | {"rows_by_day": days}, sort_keys=True))
+    put(spark, f"{path}/_provenance.json", json.dumps(provenance | {"rows_by_day": days}, sort_keys=True))
 
 
 def replace_json(df: DataFrame, path: str, name: str, day: str) -> None:
     """A small product as lines of JSON in a dated folder, and the pointer `latest` to it."""
     at = f"{name}-{day}"
     df.coalesce(1).write.mode("overwrite").json(f"{path}/{at}")
-    _put(df.sparkSession, f"{path}/latest", at)
+    put(df.sparkSession, f"{path}/latest", at)
 
 
 def write_run(df: DataFrame, path: str, run: str) -> None:
     """A manifest as a run's Parquet, then the pointer to it; a run that does not end leaves the old one in place."""
     df.write.mode("overwrite").parquet(f"{path}/runs/{run}")
-    _put(df.sparkSession, f"{path}/latest", f"runs/{run}")
+    put(df.sparkSession, f"{path}/latest", f"runs/{run}")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:

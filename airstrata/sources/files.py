@@ -73,15 +73,16 @@ _RING = "array<array<array<double>>>"
 
 
 def geojson_regions(spark: SparkSession, path: str, kind: str, name: str = "name", priority: int = 1) -> DataFrame:
-    """Regions (kind, name, priority, ring) from the polygons and multipolygons of GeoJSON: a row for each outer ring."""
+    """Regions (kind, name, priority, ring, holes) from the polygons and multipolygons of GeoJSON: a row for each polygon."""
     schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
     shape = F.col("f.geometry.coordinates")
     many = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(shape, f"array<{_RING}>")).when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(shape, _RING)))
-    rings = rows.select(F.element_at("f.properties", name).alias("name"), F.explode(many).alias("p")).select("name", F.get("p", 0).alias("r"))
     # The last point of a ring repeats the first.
-    points = F.transform(F.slice("r", F.lit(1), F.size("r") - 1), lambda c: F.struct(F.get(c, 1).alias("lat"), F.get(c, 0).alias("lon")))
-    return rings.where("size(r) >= 4").select(F.lit(kind).alias("kind"), "name", F.lit(priority).alias("priority"), points.alias("ring"))
+    ring = lambda r: F.transform(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), lambda c: F.struct(F.get(c, 1).alias("lat"), F.get(c, 0).alias("lon")))
+    parts = rows.select(F.element_at("f.properties", name).alias("name"), F.explode(many).alias("p")).where("size(get(p, 0)) >= 4")
+    holes = F.transform(F.filter(F.slice("p", F.lit(2), F.greatest(F.size("p"), F.lit(1))), lambda r: F.size(r) >= 4), ring)
+    return parts.select(F.lit(kind).alias("kind"), "name", F.lit(priority).alias("priority"), ring(F.get("p", 0)).alias("ring"), holes.alias("holes"))
 
 
 def rows_of_json(df: DataFrame, column: str, schema: str) -> DataFrame:
@@ -133,10 +134,13 @@ def schema_drift(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str
 
 
 def latest_of(spark: SparkSession, *readers) -> DataFrame | None:
-    """The first of several readers whose files are there."""
+    """The first of several readers whose files are there; anything else that a reader raises is raised."""
     for read in readers:
         try:
             return read(spark)
-        except (AnalysisException, FileNotFoundError):
+        except FileNotFoundError:
             continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return None

@@ -12,11 +12,14 @@ def _marker(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Write by partition, replacing only the partitions present, then the marker. Rows of a partition meet in tasks
-    by a shuffle that Spark may split, so a large partition is several files rather than one task."""
+    """Write by partition, replacing only the partitions present, then the marker. The marker goes first, so that a table
+    whose partitions are being replaced one by one does not read as whole; `versions` has tables that can be read
+    meanwhile. Rows of a partition meet in tasks by a shuffle that Spark may split, so a large partition is several
+    files rather than one task."""
+    store, marker = _marker(df.sparkSession, path)
+    store.delete(marker, False)
     rows = df.hint("rebalance", F.col(partition))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    store, marker = _marker(df.sparkSession, path)
     store.create(marker, True).close()
 
 
