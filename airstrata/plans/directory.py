@@ -100,10 +100,11 @@ def cities_list(spark, sf_dir):
 
 
 def city_hourly_spine(spark, sf_dir):
-    """Each city's hourly mean of the latest reading in the hour of every station, on a spine of three days; hours without any stay."""
-    rows = _good(spark, sf_dir).where("ts >= timestamp_ntz'2024-01-10 00:00:00' and ts < timestamp_ntz'2024-01-13 00:00:00'").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    """Each city's hourly mean of the latest reading in the hour of every station, on a spine of all hours; hours without any stay."""
+    rows = _good(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     last = series.latest_by(rows, ["station", "hour"], "ts", "pm25").join(stations(spark, sf_dir), "station").groupBy("city", "hour").agg(rounded(F.avg("pm25")).alias("pm25"), F.count("*").alias("stations"))
-    spine = series.spine(stations(spark, sf_dir), "city", "2024-01-10 00:00:00", "2024-01-12 23:00:00")
+    hours = rows.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour"))
+    spine = stations(spark, sf_dir).select("city").distinct().join(F.broadcast(hours))  # hours of the readings' range
     return spine.join(last, ["city", "hour"], "left").withColumn("aqi", index_of(F.col("pm25"), _points()))
 
 
@@ -288,8 +289,8 @@ ORACLE = {
         SELECT round(avg(own), 4) AS mean, count(own) AS stations, count(*) FILTER (own > -1 AND own <= 9) AS band_0, count(*) FILTER (own > 9 AND own <= 35.4) AS band_1, count(*) FILTER (own > 35.4 AND own <= 55.4) AS band_2, count(*) FILTER (own > 55.4 AND own <= 125.4) AS band_3,
                count(*) FILTER (own > 125.4 AND own <= 225.4) AS band_4, count(*) FILTER (own > 225.4) AS band_5, round(avg(v) FILTER (day <> DATE '2024-01-15'), 4) AS around FROM ow"""),
     "cities_list": sql(f"{_CITIES} SELECT *, {_CATEGORY.format(i=f'({_index_sql("pm25")})')} AS category FROM c"),
-    "city_hourly_spine": sql(f"""l AS (SELECT DISTINCT ON (station, date_trunc('hour', ts)) station, date_trunc('hour', ts)::TIMESTAMP AS hour, pm25 FROM r WHERE qc <> 'INVALID' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' ORDER BY station, date_trunc('hour', ts), ts DESC),
-        m AS (SELECT city, hour, round(avg(pm25), 4) AS pm25, count(*) AS stations FROM l JOIN s USING (station) GROUP BY ALL), k AS (SELECT city, unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12 23:00:00', INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT city FROM s))
+    "city_hourly_spine": sql(f"""l AS (SELECT DISTINCT ON (station, date_trunc('hour', ts)) station, date_trunc('hour', ts)::TIMESTAMP AS hour, pm25 FROM r WHERE qc <> 'INVALID' ORDER BY station, date_trunc('hour', ts), ts DESC),
+        m AS (SELECT city, hour, round(avg(pm25), 4) AS pm25, count(*) AS stations FROM l JOIN s USING (station) GROUP BY ALL), k AS (SELECT city, unnest(generate_series((SELECT min(hour) FROM l), (SELECT max(hour) FROM l), INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT city FROM s))
         SELECT city, hour, pm25, stations, {_index_sql("pm25")} AS aqi FROM k LEFT JOIN m USING (city, hour)"""),
     "station_overview": sql(f"""h AS (SELECT station, date_trunc('hour', ts)::TIMESTAMP AS hour, avg(pm25) AS v FROM r WHERE qc <> 'INVALID' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR AND ts <= TIMESTAMP '{AS_OF}' GROUP BY ALL),
         d AS (SELECT station, count(*) FILTER (d > 35) AS days_above, count(*) AS days FROM (SELECT station, hour::DATE AS day, avg(v) AS d FROM h GROUP BY ALL) GROUP BY station)

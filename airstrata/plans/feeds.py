@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.exprs import rounded
-from ..session import shared_dir
+from ..session import shared_dir, table
 from ..sources.tables import sql, stations
-from ..streaming import feed
+from ..streaming import feed, sessions
 
 
 def stream_hourly(spark, sf_dir):
@@ -21,14 +21,34 @@ def stream_sessions(spark, sf_dir):
     return feed.drained(feed.sessions(feed.readings(spark, sf_dir))).select("station", "begins", "readings", "peak")
 
 
+def _files(spark, sf_dir, n=10):
+    """A folder with the readings dealt into files by a hash, so that times come in any order."""
+    path = f"{shared_dir(spark)}/airstrata/feed-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").repartition(n, F.xxhash64("event_id")).write.parquet(path)
+    return path
+
+
 def stream_upsert(spark, sf_dir):
-    """The feed merged into a store of the latest value of each station, micro-batch by micro-batch."""
+    """The feed merged into a store of the latest value of each station; ten files come one by one, in no order of time."""
     name = f"{shared_dir(spark)}/airstrata/upsert-{uuid.uuid4().hex}"
-    stream = feed.readings(spark, sf_dir).select("station", "ts", F.when(F.col("event_id") % 4 != 0, F.col("pm25")).alias("pm25"), F.col("event_id").alias("last_id"))
+    feed_ = feed.readings(spark, _files(spark, sf_dir), "*.parquet", files=1)
+    stream = feed_.select("station", "ts", F.when(F.col("event_id") % 4 != 0, F.col("pm25")).alias("pm25"), F.col("event_id").alias("last_id"))
     feed.upserted(stream, f"{name}/store", ["station"], ["pm25", "last_id"], f"{name}/checkpoint")
     return feed.current(spark, f"{name}/store").select("station", "pm25", "last_id")
 
 
+def stream_open_sessions(spark, sf_dir):
+    """The sessions of `stream_sessions` from files in no order of time, with a state that only open sessions are in."""
+    rows = sessions.open_sessions(feed.readings(spark, _files(spark, sf_dir), "*.parquet", late="60 days", files=4))
+    return feed.drained(rows, "update", ["station", "begins"]).select("station", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("begins", "ends")], "readings", "peak")
+
+
+def stream_sliding(spark, sf_dir):
+    """Means of a week for each station, a window beginning each day."""
+    rows = feed.drained(feed.sliding(feed.readings(spark, sf_dir)), "update", ["station", "begins"])
+    return rows.select("station", "begins", rounded("pm25").alias("pm25"), "n", "peak")
+
+
 def stream_dedupe(spark, sf_dir):
     rows = feed.drained(feed.deduplicated(feed.readings(spark, sf_dir)), "append")
     return rows.groupBy("station").agg(F.count("*").alias("n"), rounded(F.max("pm25")).alias("peak"))
@@ -78,11 +98,15 @@ def name_similarity(spark, sf_dir):
     return alike(rows, "city", "station", "name").select(F.col("a").alias("station"), F.col("b").alias("other"), "ratio")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_sessions, stream_dedupe, stream_upsert, name_similarity)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_sessions, stream_open_sessions, stream_sliding, stream_dedupe, stream_upsert, name_similarity)}
 ORACLE = {
     "stream_hourly": sql("SELECT station, date_trunc('hour', ts)::TIMESTAMP AS hour, round(avg(pm25), 4) AS pm25, count(pm25) AS n FROM r GROUP BY ALL"),
     "stream_sessions": sql("""a AS (SELECT station, ts, pm25, coalesce((ts - lag(ts) OVER (PARTITION BY station ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS b FROM r WHERE pm25 > 250),
         c AS (SELECT *, sum(b) OVER (PARTITION BY station ORDER BY ts) AS run FROM a) SELECT station, min(ts) AS begins, count(*) AS readings, max(pm25) AS peak FROM c GROUP BY station, run"""),
+    "stream_open_sessions": sql("""a AS (SELECT station, ts, pm25, coalesce((ts - lag(ts) OVER (PARTITION BY station ORDER BY ts) > INTERVAL 6 HOUR)::INT, 1) AS b FROM r WHERE pm25 > 250),
+        c AS (SELECT *, sum(b) OVER (PARTITION BY station ORDER BY ts) AS run FROM a) SELECT station, min(ts) AS begins, max(ts) AS ends, count(*) AS readings, max(pm25) AS peak FROM c GROUP BY station, run"""),
+    "stream_sliding": sql("""w AS (SELECT station, date_trunc('day', ts) - to_days(k::INT) AS begins, pm25 FROM r, range(7) t(k))
+        SELECT station, begins::TIMESTAMP AS begins, round(avg(pm25), 4) AS pm25, count(pm25) AS n, max(pm25) AS peak FROM w GROUP BY ALL"""),
     "stream_upsert": sql("e0 AS (SELECT user_id AS station, ts, event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS pm25 FROM events) SELECT station, arg_max(pm25, ts) FILTER (pm25 IS NOT NULL) AS pm25, arg_max(event_id, ts) AS last_id FROM e0 GROUP BY station"),
     "stream_dedupe": sql("SELECT station, count(*) AS n, round(max(pm25), 4) AS peak FROM r GROUP BY station"),
 }

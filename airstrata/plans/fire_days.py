@@ -9,7 +9,7 @@ from ..functions.exprs import bearing, rounded
 from ..functions.wind import angle_between, compass, vector_mean
 from ..operators import places, polygons
 from ..operators.graph import components
-from ..session import table
+from ..session import discard, staged, table
 from ..sources.tables import sql, stations
 
 # Km and minutes within which detections of different satellites are one fire.
@@ -22,6 +22,10 @@ WINDOWS = (("04-15", "05-31"), ("09-15", "11-30"))
 BANDS = ((100, "none"), (300, "low"), (1000, "elevated"), (3000, "high"))
 
 
+#: The year before which detections are the reference of thin days.
+REFERENCE_UNTIL = 1999
+
+
 def fires(spark, sf_dir):
     """Detections with a place, a satellite, a confidence and, mostly, a time; of rows of one id the first."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"]
@@ -50,9 +54,9 @@ def regions(spark, sf_dir):
     return districts.union(provinces).union(country)
 
 
-def _with_regions(spark, sf_dir):
+def _with_regions(spark, sf_dir, detections=None):
     """Detections with district, province and country; places are attributed once each, however many detections they have."""
-    rows = fires(spark, sf_dir).withColumn("place", F.struct("lat", "lon"))
+    rows = (fires(spark, sf_dir) if detections is None else detections).withColumn("place", F.struct("lat", "lon"))
     spots = rows.select("lat", "lon").distinct().withColumn("place", F.struct("lat", "lon"))
     named = polygons.attributed(spots, regions(spark, sf_dir), "place", ["district", "province", "country"])
     return rows.join(named.drop("place"), ["lat", "lon"], "left").drop("place")
@@ -84,13 +88,17 @@ def _pairs(rows):
 
 
 def _grouped(spark, sf_dir):
-    """Detections with the least id of their fire, `fire`, whether they are its strongest (`primary`), and whether any of it is of nominal or high confidence."""
-    rows = _with_regions(spark, sf_dir)
-    group = components(_pairs(rows).select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    """Detections with the least id of their fire, `fire`, whether they are its strongest (`primary`), and whether any of
+    it is of nominal or high confidence. They are written once, since what rests on them reads them several times."""
+    seen = staged(fires(spark, sf_dir), "fires")
+    group = components(_pairs(seen).select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    rows = _with_regions(spark, sf_dir, seen)
     rows = rows.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("fire", F.coalesce("label", "id")).drop("label")
     w = Window.partitionBy("fire").orderBy(F.desc("frp"), "id")
     sure = F.col("confidence").isin("h", "n")
-    return rows.withColumn("primary", F.row_number().over(w) == 1).withColumn("sure", F.bool_or(sure).over(Window.partitionBy("fire")))
+    out = staged(rows.withColumn("primary", F.row_number().over(w) == 1).withColumn("sure", F.bool_or(sure).over(Window.partitionBy("fire"))), "fires-in-groups")
+    discard(seen)
+    return out
 
 
 def dedup_groups(spark, sf_dir):
@@ -173,12 +181,12 @@ def fire_day_build(spark, sf_dir):
 
 def suspect_fire_days(spark, sf_dir):
     """Days of the peak months after the reference years with under a tenth of the reference median of the same dates."""
-    days = fires(spark, sf_dir).where("id % 7 < 6 or day < date'1995-01-01'").groupBy("day").agg(F.count("*").alias("n"))
-    thin = F.when((F.year("day") >= 1995) & (F.dayofmonth("day") % 9 == 0), F.floor(F.col("n") / 20)).otherwise(F.col("n"))
+    days = fires(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"))
+    thin = F.when((F.year("day") >= REFERENCE_UNTIL) & (F.dayofmonth("day") % 9 == 0), F.floor(F.col("n") / 20)).otherwise(F.col("n"))
     days = days.withColumn("n", thin * 40).withColumn("doy", F.dayofyear("day"))
-    near = days.where(F.year("day") < 1995).select(F.explode(F.sequence(F.col("doy") - 3, F.col("doy") + 3)).alias("doy"), F.col("n").alias("m"))
+    near = days.where(F.year("day") < REFERENCE_UNTIL).select(F.explode(F.sequence(F.col("doy") - 3, F.col("doy") + 3)).alias("doy"), F.col("n").alias("m"))
     reference = near.groupBy("doy").agg(F.median("m").alias("reference"))  # a few years of seven days for each day of the year
-    return days.where((F.year("day") >= 1995) & F.month("day").isin(4, 5, 10, 11)).join(reference, "doy").where("reference >= 200 and n < 0.1 * reference").select("day", F.col("n").cast("long").alias("n"), F.round("reference").cast("long").alias("reference"))
+    return days.where((F.year("day") >= REFERENCE_UNTIL) & F.month("day").isin(4, 5, 10, 11)).join(reference, "doy").where("reference >= 200 and n < 0.1 * reference").select("day", F.col("n").cast("long").alias("n"), F.round("reference").cast("long").alias("reference"))
 
 
 def _winds(spark, sf_dir):
@@ -291,10 +299,10 @@ ORACLE = {
     "fire_day_build": sql(f"""{_C}, f7 AS (SELECT *, confidence IN ('h', 'n') AS sure_, "primary" AND sure AS head, satellite = 'n20' AS n20 FROM f6),
         f8 AS (SELECT *, 'country' AS kind, coalesce(country, 'other') AS region FROM f7 UNION ALL SELECT *, 'province', province FROM f7 WHERE province IS NOT NULL UNION ALL SELECT *, 'district', district FROM f7 WHERE district IS NOT NULL)
         SELECT day, kind, region, {_METRICS} FROM f8 GROUP BY day, kind, region""").replace("WITH ", "WITH RECURSIVE ", 1),
-    "suspect_fire_days": sql(f"""{_F}, d0 AS (SELECT day, count(*) AS n FROM f0 WHERE id % 7 < 6 OR day < DATE '1995-01-01' GROUP BY day),
-        d AS (SELECT day, dayofyear(day) AS doy, 40 * CASE WHEN year(day) >= 1995 AND day(day) % 9 = 0 THEN floor(n / 20) ELSE n END AS n FROM d0),
-        m AS (SELECT doy + k - 3 AS doy, median(n) AS reference FROM d, range(7) t(k) WHERE year(day) < 1995 GROUP BY ALL)
-        SELECT day, n::BIGINT AS n, round(reference)::BIGINT AS reference FROM d JOIN m USING (doy) WHERE year(day) >= 1995 AND month(day) IN (4, 5, 10, 11) AND reference >= 200 AND n < 0.1 * reference"""),
+    "suspect_fire_days": sql(f"""{_F}, d0 AS (SELECT day, count(*) AS n FROM f0 GROUP BY day),
+        d AS (SELECT day, dayofyear(day) AS doy, 40 * CASE WHEN year(day) >= {REFERENCE_UNTIL} AND day(day) % 9 = 0 THEN floor(n / 20) ELSE n END AS n FROM d0),
+        m AS (SELECT doy + k - 3 AS doy, median(n) AS reference FROM d, range(7) t(k) WHERE year(day) < {REFERENCE_UNTIL} GROUP BY ALL)
+        SELECT day, n::BIGINT AS n, round(reference)::BIGINT AS reference FROM d JOIN m USING (doy) WHERE year(day) >= {REFERENCE_UNTIL} AND month(day) IN (4, 5, 10, 11) AND reference >= 200 AND n < 0.1 * reference"""),
     "wind_means": sql(f"""{_W} SELECT city, ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][floor((deg + 11.25) / 22.5)::INT % 16 + 1] AS compass, count(*) AS days,
         round(avg(round(speed + 1e-9, 2)) + 1e-9, 2) AS speed FROM w GROUP BY ALL"""),
     "fire_exposure": sql(f"""{_A}, x AS (SELECT near.*, deg, {_OFF} AS off FROM near LEFT JOIN w USING (city, day))

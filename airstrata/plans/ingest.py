@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import rounded
 from ..operators import merging, series
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import versions
 from ..sources.tables import AS_OF, SIGNAL, WIDE, readings, signal, sql, stations, wide_readings
 
 _NOW = f"timestamp_ntz'{AS_OF}'"
@@ -110,9 +114,13 @@ def refreshed_days(spark, sf_dir):
 
 
 def retained(spark, sf_dir):
-    """What a retention of ten days leaves, by source, with the payload of long rows cut."""
-    rows = readings(spark, sf_dir).where(F.col("ts") >= F.expr(f"{_NOW} - interval 10 days"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum(F.length(F.substring("props", 1, 8))).alias("bytes"))
+    """What a retention of ten days leaves, by source, with the payload of long rows cut: days before go from a versioned
+    table, the day that the limit falls in is rewritten, and the files that no version needs are deleted."""
+    path = f"{shared_dir(spark)}/airstrata/retained-{uuid.uuid4().hex}"
+    versions.replace(readings(spark, sf_dir).withColumn("day", F.col("ts").cast("date")), path, "day", "load")
+    versions.retain(spark, path, "day", "ts", str(datetime.datetime.fromisoformat(AS_OF) - datetime.timedelta(days=10)))
+    versions.vacuum(spark, path, least_hours=0.0)
+    return versions.read(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum(F.length(F.substring("props", 1, 8))).alias("bytes"))
 
 
 def rejected(spark, sf_dir):

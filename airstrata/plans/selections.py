@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -10,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import category, haversine_km, index_of, local_day, rounded
 from ..operators import places, selecting, series
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import versions
 from ..sources.tables import AS_OF, SIGNAL, readings, signal, sql, stations
 from .observations import _CATEGORY, _index_sql, _points
 
@@ -130,7 +132,14 @@ def ranked_cities(spark, sf_dir):
 def recursive_hours(spark, sf_dir):
     """An hour spine from a recursive query, with the readings of each."""
     rows = readings(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
-    spine = spark.sql("WITH RECURSIVE t(hour) AS (SELECT timestamp_ntz'2024-01-05 00:00:00' UNION ALL SELECT hour + interval 1 hour FROM t WHERE hour < timestamp_ntz'2024-01-06 23:00:00') SELECT hour FROM t")
+    first, last = rows.agg(F.min("hour"), F.max("hour")).first()
+    hours = int((last - first).total_seconds() // 3600) if first else -1
+    # Each step of the recursion doubles the hours, so that its depth is the logarithm of their number.
+    spine = spark.sql(
+        """WITH RECURSIVE t(n, k) AS (SELECT 0L, 0 UNION ALL SELECT n + b * shiftleft(1L, k), k + 1 FROM t, (VALUES (0), (1)) v(b) WHERE k < :levels)
+           SELECT timestampadd(HOUR, CAST(n AS INT), :first) AS hour FROM t WHERE k = :levels AND n <= :hours""",
+        args={"levels": max(hours, 1).bit_length(), "first": first, "hours": hours},
+    ).select(F.col("hour").cast("timestamp_ntz").alias("hour"))
     return spine.join(rows, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -186,7 +195,7 @@ def daily_brief(spark, sf_dir):
 def resolved_places(spark, sf_dir):
     """Places asked for by name, resolved as a city, else a station, else a country, else nothing."""
     rows = stations(spark, sf_dir)
-    asked = rows.where("station <= 60").select(F.col("station").alias("ask"), F.when(F.col("station") % 4 == 0, F.lower("city")).when(F.col("station") % 4 == 1, F.upper("name")).when(F.col("station") % 4 == 2, F.upper("country")).otherwise(F.lit("nowhere")).alias("name"))
+    asked = rows.select(F.col("station").alias("ask"), F.when(F.col("station") % 4 == 0, F.lower("city")).when(F.col("station") % 4 == 1, F.upper("name")).when(F.col("station") % 4 == 2, F.upper("country")).otherwise(F.lit("nowhere")).alias("name"))
     return selecting.resolved(asked, "name", [("city", rows, "city"), ("station", rows, "name"), ("country", rows, "country")]).select("ask", "name", "kind", rounded("lat").alias("lat"), rounded("lon").alias("lon"))
 
 
@@ -199,10 +208,16 @@ def nearest_source(spark, sf_dir):
 
 
 def guarded_backfill(spark, sf_dir):
-    """A backfill that fills units day by day only where they are missing and the source attests them, and what it changed."""
-    rows = readings(spark, sf_dir).withColumn("units", F.when(F.col("station") % 3 == 0, "ug/m3"))
-    new = F.when(F.col("units").isNull() & F.col("pm25").isNotNull() & (F.col("source") == "view"), "ug/m3").otherwise(F.col("units"))
-    return rows.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count_if(~new.eqNullSafe(F.col("units"))).alias("changed"), F.count(new).alias("attested"))
+    """A backfill that fills units day by day only where they are missing and the source attests them: days that need it
+    are rewritten in a versioned table, the others' files stay; and what it changed, from the versions before and after."""
+    path = f"{shared_dir(spark)}/airstrata/backfill-{uuid.uuid4().hex}"
+    rows = readings(spark, sf_dir).withColumn("units", F.when(F.col("station") % 3 == 0, "ug/m3")).withColumn("day", F.col("ts").cast("date"))
+    first = versions.replace(rows, path, "day", "load")
+    wanted = F.col("units").isNull() & F.col("pm25").isNotNull() & (F.col("source") == "view")
+    days = {str(r.day) for r in versions.read(spark, path, first).where(wanted).select("day").distinct().collect()}  # a row a day
+    last = versions.rewrite(spark, path, "day", lambda old: old.withColumn("units", F.when(wanted, "ug/m3").otherwise(F.col("units"))), days.__contains__, "backfill")
+    count = lambda v: versions.read(spark, path, v).groupBy("day").agg(F.count("*").alias("n"), F.count("units").alias("attested"))
+    return count(last).join(count(first).select("day", F.col("attested").alias("before")), "day").select("day", "n", (F.col("attested") - F.col("before")).alias("changed"), "attested")
 
 
 def push_times(spark, sf_dir):
@@ -247,7 +262,7 @@ ORACLE = {
         SELECT station, n, event_id, v, last_known FROM k JOIN l USING (station) WHERE n <= 2"""),
     "ranked_cities": sql(f"""{_LATEST}, c AS (SELECT city, round(avg(pm25), 4) AS pm25, count(*) AS stations FROM n JOIN s USING (station) GROUP BY city HAVING count(*) >= 6), k AS (SELECT *, row_number() OVER (ORDER BY pm25 DESC, city) AS i FROM c)
         SELECT city, pm25, stations, i || CASE i WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS rank FROM k WHERE i <= 5"""),
-    "recursive_hours": sql("k AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06 23:00:00', INTERVAL 1 HOUR)) AS hour) SELECT hour, (SELECT count(*) FROM r WHERE date_trunc('hour', ts) = hour) AS n FROM k"),
+    "recursive_hours": sql("k AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM r), (SELECT max(ts) FROM r), INTERVAL 1 HOUR))::TIMESTAMP AS hour) SELECT hour, (SELECT count(*) FROM r WHERE date_trunc('hour', ts) = hour) AS n FROM k"),
     "station_detail": sql(f"""{_LATEST}, f AS (SELECT station, {', '.join(f'round(avg(pm25 + hour(ts) + {h // 24}), 4) AS h{h}' for h in (24, 48, 72, 96))} FROM r GROUP BY station)
         SELECT station, name, city, ts, pm25, {_CATEGORY.format(i=f'({_index_sql("pm25")})')} AS category, h24, h48, h72, h96 FROM n JOIN s USING (station) LEFT JOIN f USING (station)""").replace(", f AS (SELECT station, round", ", fc AS (SELECT station, round").replace("LEFT JOIN f USING", "LEFT JOIN fc USING"),
     "incidents": sql(f"""n AS (SELECT DISTINCT ON (station) station, pm25 FROM r WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR ORDER BY station, ts DESC), k AS (SELECT country, station, pm25, max(pm25) OVER (PARTITION BY country) > 75 AS a, row_number() OVER (PARTITION BY country ORDER BY pm25 DESC, station) AS n FROM n JOIN s USING (station))
@@ -260,7 +275,7 @@ ORACLE = {
     "daily_brief": sql("""d AS (SELECT city, station, ts::DATE AS day, avg(pm25) AS v FROM r JOIN s USING (station) WHERE ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-21' GROUP BY ALL), t AS (SELECT * FROM d WHERE day = DATE '2024-01-20'), w AS (SELECT city, avg(v) AS m FROM t GROUP BY city ORDER BY m DESC, city LIMIT 5),
         b AS (SELECT round(avg(d.v - t.v), 4) AS bias, count(*) AS matched FROM t JOIN d ON d.station = t.station AND d.day = DATE '2024-01-19')
         SELECT (SELECT count(*) FROM t) AS stations, (SELECT count(*) FROM t WHERE v <= 35.4) AS fair, (SELECT count(*) FROM t WHERE v > 55.4) AS unhealthy, (SELECT string_agg(city, ', ' ORDER BY m DESC, city) FROM w) AS worst, bias, matched FROM b"""),
-    "resolved_places": sql("""a AS (SELECT station AS ask, CASE station % 4 WHEN 0 THEN lower(city) WHEN 1 THEN upper(name) WHEN 2 THEN upper(country) ELSE 'nowhere' END AS name FROM s WHERE station <= 60),
+    "resolved_places": sql("""a AS (SELECT station AS ask, CASE station % 4 WHEN 0 THEN lower(city) WHEN 1 THEN upper(name) WHEN 2 THEN upper(country) ELSE 'nowhere' END AS name FROM s),
         c AS (SELECT lower(city) AS k, avg(lat) AS lat, avg(lon) AS lon FROM s GROUP BY ALL), t AS (SELECT lower(name) AS k, avg(lat) AS lat, avg(lon) AS lon FROM s GROUP BY ALL), g AS (SELECT lower(country) AS k, avg(lat) AS lat, avg(lon) AS lon FROM s GROUP BY ALL)
         SELECT ask, name, CASE WHEN c.k IS NOT NULL THEN 'city' WHEN t.k IS NOT NULL THEN 'station' WHEN g.k IS NOT NULL THEN 'country' END AS kind, round(coalesce(c.lat, t.lat, g.lat), 4) AS lat, round(coalesce(c.lon, t.lon, g.lon), 4) AS lon FROM a LEFT JOIN c ON c.k = lower(name) LEFT JOIN t ON t.k = lower(name) LEFT JOIN g ON g.k = lower(name)""".replace("FROM a LEFT JOIN c ON c.k = lower(name) LEFT JOIN t ON t.k = lower(name) LEFT JOIN g ON g.k = lower(name)", "FROM a LEFT JOIN c ON c.k = lower(a.name) LEFT JOIN t ON t.k = lower(a.name) LEFT JOIN g ON g.k = lower(a.name)")),
     "nearest_source": sql(f"""z AS (SELECT s_suppkey AS point, 23 + (s_suppkey * 71 % 1500) / 100.0::DOUBLE AS lat, 60 + (s_suppkey * 29 % 1800) / 100.0::DOUBLE AS lon FROM supplier), p AS (SELECT point, station, {_KM} AS km FROM z, (SELECT station, lat AS lat2, lon AS lon2 FROM s) b), b AS (SELECT DISTINCT ON (point) * FROM p WHERE km <= 200 ORDER BY point, km, station)

@@ -126,8 +126,8 @@ def zscores(spark, sf_dir):
 
 
 def fire_trends(spark, sf_dir):
-    """Days of each season on a full calendar: counts, rolling means of seven (five at least), sums that skip gaps and stay null on them, shares of the season's total."""
-    days = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 and l_shipdate >= date'1996-01-01'").groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n")).where("n >= 3")
+    """Days of each season on a full calendar, some of them not known: counts, rolling means of seven (five at least), sums that skip gaps and stay null on them, shares of the season's total."""
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n")).withColumn("n", F.when(F.dayofyear("day") % 13 > 1, F.col("n")))
     ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     rows = ends.join(days, "day", "left").withColumn("season", season_year(F.col("day")))
     w = Window.partitionBy("season").orderBy("day")
@@ -190,7 +190,7 @@ def path_matches(spark, sf_dir):
 
 
 def path_residence(spark, sf_dir):
-    """Hours of every path in each cell of a degree, and the share of its hours by sector of the compass round its city."""
+    """Hours of every path in each cell of a degree, and when it enters and leaves; `path_sectors` has the sectors."""
     rows = _paths(spark, sf_dir).withColumn("cy", F.floor("lat")).withColumn("cx", F.floor("lon"))
     return rows.groupBy("city", "cy", "cx").agg(F.count("*").alias("hours"), F.min("i").alias("enters"), F.max("i").alias("leaves"))
 
@@ -233,7 +233,7 @@ ORACLE = {
         u AS (SELECT "group", (a + 0.5) / (sum(a) OVER w + 0.5)::DOUBLE AS p, (b + 0.5) / (sum(b) OVER w + 0.5)::DOUBLE AS k FROM n WINDOW w AS (PARTITION BY "group")) SELECT "group", round(sum((p - k) * ln(p / k)), 4) AS psi FROM u GROUP BY "group" ORDER BY psi DESC, "group" LIMIT 5"""),
     "climatology": sql(f"{_CLIM} SELECT season_out::INT AS season_out, doy::INT AS doy, n, round(mean + 1e-9, 2) AS mean, round(sd + 1e-9, 1) AS sd FROM cl"),
     "zscores": sql(f"""{_CLIM} SELECT day, round(v + 1e-9, 2) AS v, CASE WHEN n >= 10 AND sd > 0 THEN round((v - mean) / sd + 1e-9, 3) END AS z, round(100 * v / mean + 1e-9, 2) AS percent FROM vd LEFT JOIN cl ON season = season_out AND d = doy"""),
-    "fire_trends": sql("""d AS (SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 AND l_shipdate >= DATE '1996-01-01' GROUP BY ALL HAVING count(*) >= 3), k AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day),
+    "fire_trends": sql("""c AS (SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT day, CASE WHEN dayofyear(day) % 13 > 1 THEN n END AS n FROM c), k AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day),
         j AS (SELECT k.day, CASE WHEN month(k.day) >= 7 THEN year(k.day) ELSE year(k.day) - 1 END::INT AS season, n FROM k LEFT JOIN d USING (day))
         SELECT day, season, n, round(CASE WHEN n IS NOT NULL AND count(n) OVER w >= 5 THEN avg(n) OVER w END, 4) AS mean7, CASE WHEN n IS NOT NULL THEN sum(n) OVER (PARTITION BY season ORDER BY day) END::BIGINT AS cumulative, round(n / sum(n) OVER (PARTITION BY season) + 1e-9, 6) AS share FROM j WINDOW w AS (PARTITION BY season ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""),
     "weekly_folds": sql(f"""{_S}, z AS (SELECT station, date_trunc('week', hour)::TIMESTAMP AS week, CASE WHEN h >= 168 OR station % 4 <> 0 THEN pm25 END AS v, h % 5 + 1 AS k FROM q)

@@ -19,15 +19,20 @@ def put(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool
     """Write a text and rename it to its place in one step: in place of the old one, which readers see until then, or,
     without `replace`, only where there is none. Returns whether it is there now."""
     jvm = spark.sparkContext._jvm
-    options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     at, beside = path_of(spark, path), path_of(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     store = store_of(spark, path)
+    local = store.getScheme() == "file"
+    if local:
+        store = store.getRawFileSystem()  # no checksum beside the text, which would be replaced in a second step
     out = store.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    if replace and local:
+        return store.rename(beside, at)  # a local store replaces in one step here, a file context would delete first
+    options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(options, 1)
     how[0] = options.OVERWRITE if replace else options.NONE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
         context.rename(beside, at, how)
         return True
