@@ -97,8 +97,13 @@ class Vocabulary:
 
     def spelled(self, codes: np.ndarray) -> bytes:
         """Ids as little-endian unsigned 16-bit integers."""
-        if len(codes) and codes.min() < 0:
-            codes = np.fromiter((i for c in codes.tolist() for i in ((c,) if c >= 0 else (self.bytes[b] for b in chr(-1 - c).encode()))), np.int64)
+        odd = codes < 0
+        if odd.any():
+            spelled = [chr(-1 - c).encode() for c in codes[odd].tolist()]
+            width = np.ones(len(codes), np.int64)
+            width[odd] = [len(b) for b in spelled]
+            codes, odd = np.repeat(codes, width), np.repeat(odd, width)
+            codes[odd] = [self.bytes[b] for b in b"".join(spelled)]
         return codes.astype("<u2").tobytes()
 
 
