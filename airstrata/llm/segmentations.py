@@ -259,7 +259,10 @@ class Search:
         most = np.maximum.reduceat(noisy, starts)[rep]
         other = np.flatnonzero(edge != chosen[rep])
         v = below(value, noisy[other], most[other])
-        top = np.argsort(-v, kind="stable")[:keep]
+        # Of the best ones alone the order counts; a value that is none counts last.
+        best = np.flatnonzero(-v <= np.partition(-v, keep - 1)[keep - 1]) if len(v) > keep else np.arange(len(v))
+        best = best if len(best) >= min(keep, len(v)) else np.arange(len(v))
+        top = best[np.argsort(-v[best], kind="stable")[:keep]]
         return [(float(v[t]), int(rep[other[t]]), int(edge[other[t]])) for t in top]
 
     def paths(self) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
