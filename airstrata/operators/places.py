@@ -45,6 +45,28 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, also: Column | None = N
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
 
 
+def close_pairs(points: DataFrame, key: str, km: float, same: list[str]) -> DataFrame:
+    """Pairs (id, id2) of points (key, lat, lon) of one table that are equal in `same` and at most `km` apart, with km and
+    the other columns, the second point's ending in 2; the lesser key comes first and each pair comes once.
+
+    As `within_radius`, but a point looks for partners in its own cell, in the next one and in the band to the north
+    only: a pair across cells is found from one of its ends, which halves the rows that are made."""
+    band, columns, column = grid(km)
+    rest = [c for c in points.columns if c not in same]
+    left = points.withColumn("_by", band(F.col("lat"))).withColumn("_cy", F.explode(F.array(F.col("_by"), F.col("_by") + 1))).withColumn("_n", columns(F.col("_cy")))
+    own = column(F.col("lon"), F.col("_n"))
+    steps = F.when(F.col("_cy") == F.col("_by"), F.array(own, F.pmod(own + 1, F.col("_n")))).otherwise(F.array(*[F.pmod(own + j, F.col("_n")) for j in (-1, 0, 1)]))
+    # In a band of two columns or less the next one may be the one before: there, a pair is found from both ends.
+    both = (F.col("_cy") == F.col("_by")) & (F.col("_n") <= 2)
+    left = left.withColumn("_cx", F.explode(F.array_distinct(steps))).withColumn("_half", (F.col("_cy") == F.col("_by")) & ((F.col("_cx") == own) | both)).drop("_by", "_n")
+    right = points.withColumn("_cy", band(F.col("lat"))).withColumn("_cx", column(F.col("lon"), columns(F.col("_cy")))).withColumnsRenamed({c: f"{c}2" for c in rest})
+    pairs = left.join(right, [*same, "_cy", "_cx"]).where((F.col(key) != F.col(f"{key}2")) & (~F.col("_half") | (F.col(key) < F.col(f"{key}2"))))
+    pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
+    swap = F.col(key) > F.col(f"{key}2")
+    ends = [F.when(swap, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in rest] + [F.when(swap, F.col(c)).otherwise(F.col(f"{c}2")).alias(f"{c}2") for c in rest]
+    return pairs.select(*same, *ends, "km")
+
+
 def nearest(a: DataFrame, b: DataFrame, key: str, key2: str, km: float, k: int) -> DataFrame:
     """The k nearest points of `b` within `km` of each point of `a`. Spark drops rows beyond the k-th within tasks,
     before and after the shuffle, so that a key of many neighbours never fills a task."""

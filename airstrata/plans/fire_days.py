@@ -81,10 +81,9 @@ def station_provinces(spark, sf_dir):
 
 def _pairs(rows):
     """Pairs of one day that different satellites saw within the distance and, where both times are known, the minutes."""
-    a = rows.select("day", "id", "satellite", "minute", "lat", "lon")
-    b = a.select(F.col("day").alias("day2"), F.col("id").alias("id2"), F.col("satellite").alias("satellite2"), F.col("minute").alias("minute2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     close = F.coalesce(F.abs(F.col("minute") - F.col("minute2")) <= DEDUP_MINUTES, F.lit(True))
-    return places.within_radius(a, b, DEDUP_KM, F.col("day") == F.col("day2")).where((F.col("id") < F.col("id2")) & (F.col("satellite") != F.col("satellite2")) & close)
+    pairs = places.close_pairs(rows.select("day", "id", "satellite", "minute", "lat", "lon"), "id", DEDUP_KM, ["day"])
+    return pairs.where((F.col("satellite") != F.col("satellite2")) & close)
 
 
 def _grouped(spark, sf_dir):
@@ -92,11 +91,13 @@ def _grouped(spark, sf_dir):
     it is of nominal or high confidence. They are written once, since what rests on them reads them several times."""
     seen = staged(fires(spark, sf_dir), "fires")
     group = components(_pairs(seen).select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    rows = _with_regions(spark, sf_dir, seen)
-    rows = rows.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("fire", F.coalesce("label", "id")).drop("label")
-    w = Window.partitionBy("fire").orderBy(F.desc("frp"), "id")
-    sure = F.col("confidence").isin("h", "n")
-    out = staged(rows.withColumn("primary", F.row_number().over(w) == 1).withColumn("sure", F.bool_or(sure).over(Window.partitionBy("fire"))), "fires-in-groups")
+    # Of the fires of several detections alone it must be asked which is the strongest.
+    sure, w = F.col("confidence").isin("h", "n"), Window.partitionBy("label")
+    several = seen.select("id", "frp", "confidence").join(group, F.col("id") == F.col("node"))
+    several = several.select("id", F.col("label").alias("_fire"), (F.row_number().over(w.orderBy(F.desc("frp"), "id")) == 1).alias("_primary"), F.bool_or(sure).over(w).alias("_sure"))
+    rows = _with_regions(spark, sf_dir, seen).join(several, "id", "left")
+    rows = rows.withColumns({"fire": F.coalesce("_fire", "id"), "primary": F.coalesce("_primary", F.lit(True)), "sure": F.coalesce(F.col("_sure"), sure)})
+    out = staged(rows.drop("_fire", "_primary", "_sure"), "fires-in-groups")
     discard(seen)
     return out
 

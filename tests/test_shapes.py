@@ -126,3 +126,13 @@ def test_segments_of_paths(spark):
     rows = spark.createDataFrame([("a", 1, 0.0, 0.0, 5), ("a", 2, None, 1.0, 6), ("a", 3, 1.0, 1.0, 7), ("a", 4, 2.0, 1.0, None), ("b", 1, 9.0, 9.0, 1), ("c", 1, None, None, 1)], "path string, step int, lat double, lon double, v int")
     got = sorted(map(tuple, places.segments_of(rows, ["path"], "step", ["v"]).collect()))
     assert got == [("a", 1, 0.0, 0.0, 1.0, 1.0, 5, 7), ("a", 3, 1.0, 1.0, 2.0, 1.0, 7, None), ("b", 1, 9.0, 9.0, 9.0, 9.0, 1, 1)]
+
+
+def test_close_pairs_come_once(spark):
+    rng = np.random.default_rng(2)
+    points = [(int(i), int(i % 2), float(y), float(x)) for i, y, x in zip(rng.permutation(700), [*rng.uniform(-0.2, 0.2, 400), *rng.uniform(89.6, 90, 150), *rng.uniform(-0.2, 0.2, 150)], [*rng.uniform(9.8, 10.2, 400), *rng.uniform(-180, 180, 150), *(((rng.uniform(179.8, 180.2, 150)) + 180) % 360 - 180)])]
+    df = spark.createDataFrame(points, "id int, day int, lat double, lon double")
+    for km in (3.0, 25.0):
+        got = [(r.id, r.id2) for r in places.close_pairs(df, "id", km, ["day"]).collect()]
+        want = {(min(a[0], b[0]), max(a[0], b[0])) for a in points for b in points if a[0] != b[0] and a[1] == b[1] and away(*a[2:], *b[2:]) <= km}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
