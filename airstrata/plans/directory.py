@@ -251,7 +251,8 @@ def match_audit(spark, sf_dir):
 
 
 def driver_shares(spark, sf_dir):
-    """Shares of calm, fires and other causes in each city's day, from its wind and what moves beside it; they sum to one."""
+    """Shares of calm, fires and other causes in each city's day by two steps of its spread and mean alone; they sum to one.
+    `causes.forecast_drivers` has the whole rule."""
     days = _good(spark, sf_dir).join(stations(spark, sf_dir), "station").groupBy("city", F.col("ts").cast("date").alias("day")).agg(F.avg("pm25").alias("v"), F.stddev_pop("pm25").alias("spread"), F.count("*").alias("n"))
     calm = F.when(F.col("spread") < 25, 0.5).when(F.col("spread") < 30, 0.3).otherwise(0.1)
     fire = F.when(F.col("v") > 60, 0.4).otherwise(0.1)

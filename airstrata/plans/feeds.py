@@ -18,7 +18,8 @@ def stream_hourly(spark, sf_dir):
 
 
 def stream_sessions(spark, sf_dir):
-    return feed.drained(feed.sessions(feed.readings(spark, sf_dir))).select("station", "begins", "readings", "peak")
+    rows = feed.drained(sessions.open_sessions(feed.readings(spark, sf_dir)), "update", ["station", "begins"])
+    return rows.select("station", F.col("begins").cast("timestamp_ntz").alias("begins"), "readings", "peak")
 
 
 def _files(spark, sf_dir, n=10):

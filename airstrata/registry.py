@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["observations", "fires", "feeds", "quality", "fire_days", "indices", "directory", "ingest", "statistics", "selections", "geometry", "stores", "capabilities", "roundtrips"]
+MODULES: list[str] = ["observations", "fires", "feeds", "quality", "fire_days", "indices", "directory", "ingest", "statistics", "selections", "geometry", "stores", "capabilities", "roundtrips", "causes"]
 
 
 def queries() -> dict:
