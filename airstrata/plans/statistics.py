@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import rounded, season_year
-from ..operators import places
+from ..operators import places, series
 from ..session import table
 from ..sources.tables import SIGNAL, daily, signal, sql, stations
 
@@ -83,6 +83,30 @@ def calibrated(spark, sf_dir):
     return out
 
 
+#: Folds by date, and pieces of a line through the means of as many bins.
+FOLDS, PIECES = 5, 5
+
+
+def calibrated_pieces(spark, sf_dir):
+    """The same by a line in pieces: for each fold the means of five bins of the other folds' forecasts, of equal counts, are
+    its knots, a table of few rows; a day meets the piece that it lies on in a range join, beyond the ends the end's value."""
+    days = _pairs(spark, sf_dir).groupBy("group", F.col("hour").cast("date").alias("day")).agg(F.avg("said").alias("said"), F.avg("seen").alias("seen"))
+    days = days.withColumn("fold", F.dayofyear("day") % FOLDS)
+    train = days.withColumn("out", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).where("out <> fold")
+    inner = series.percentiles(train, ["out"], "said", tuple(k / PIECES for k in range(1, PIECES)), 5.0)
+    cuts = [F.col(f"p{100 * k // PIECES}") for k in range(1, PIECES)]
+    bins = train.join(F.broadcast(inner), "out").withColumn("bin", sum((F.col("said") >= c).cast("int") for c in cuts))  # a row a fold
+    knots = bins.groupBy("out", "bin").agg(F.avg("said").alias("x"), F.avg("seen").alias("y"))
+    w = Window.partitionBy("out").orderBy("x")
+    pieces = knots.select("out", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), (F.row_number().over(w) == 1).alias("first"))
+    low = F.when(F.col("first"), F.lit(float("-inf"))).otherwise(F.col("x"))
+    pieces = pieces.withColumn("low", low).withColumn("high", F.coalesce("x2", F.lit(float("inf")))).drop("first")
+    at = F.greatest("x", F.least("said", F.coalesce("x2", "x")))
+    line = F.col("y") + F.coalesce(F.try_divide((at - F.col("x")) * (F.col("y2") - F.col("y")), F.col("x2") - F.col("x")), F.lit(0.0))
+    rows = days.join(F.broadcast(pieces), (F.col("fold") == F.col("out")) & (F.col("said") >= F.col("low")) & (F.col("said") < F.col("high")), "left")  # a fold's few pieces
+    return rows.select("group", "day", "fold", rounded("said").alias("said"), rounded("seen").alias("seen"), rounded(F.coalesce(line, F.col("said"))).alias("calibrated"))
+
+
 def drift_ranking(spark, sf_dir):
     """Population stability of each group's values between two halves over twenty bins, the five largest first."""
     rows = signal(spark, sf_dir).where("pm25 between 0 and 900").withColumn("bin", F.floor(F.col("pm25") / 50)).withColumn("late", F.col("h") >= 360)
@@ -207,7 +231,7 @@ def nearest_times(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        forecast_audit, correlations, pair_stats, bin_bias, calibrated, drift_ranking, climatology, zscores, fire_trends, weekly_folds, monthly_quartiles, winter_maxima, hazard_exposure, path_matches, path_residence, nearest_times,
+        forecast_audit, correlations, pair_stats, bin_bias, calibrated, calibrated_pieces, drift_ranking, climatology, zscores, fire_trends, weekly_folds, monthly_quartiles, winter_maxima, hazard_exposure, path_matches, path_residence, nearest_times,
     )
 }
 
@@ -229,6 +253,10 @@ ORACLE = {
         j AS (SELECT g."group", station, pm25, x FROM g JOIN fst ON g."group" = fst."group" AND station <> a JOIN x0 ON x0."group" = g."group" AND x0.hour = g.hour)
         SELECT "group", station, count(*) AS n, round(regr_slope(pm25, x), 4) AS slope, round(regr_intercept(pm25, x) + 1e-9, 3) AS intercept, round(regr_r2(pm25, x), 4) AS r2, round(avg(abs(pm25 - x)) + 1e-9, 3) AS mae FROM j GROUP BY ALL HAVING count(*) >= 24"""),
     "bin_bias": sql(f"""{_P}, k AS (SELECT *, floor((rank() OVER (ORDER BY seen) - 1) * 10 / (count(*) OVER ())::DOUBLE)::BIGINT AS bin FROM p) SELECT bin, count(*) AS n, min(seen) AS low, max(seen) AS high, round(avg(said - seen), 4) AS bias FROM k GROUP BY bin HAVING count(*) >= 5"""),
+    "calibrated_pieces": sql(f"""{_P}, dd AS (SELECT "group", hour::DATE AS day, avg(said) AS said, avg(seen) AS seen, dayofyear(hour::DATE) % {FOLDS} AS fold FROM p GROUP BY ALL), tr AS (SELECT dd.*, k AS out FROM dd, range({FOLDS}) t(k) WHERE k <> fold),
+        cu AS (SELECT out, {", ".join(f"quantile_cont(said, {k / PIECES}) AS c{k}" for k in range(1, PIECES))} FROM tr GROUP BY out), kn AS (SELECT out, {" + ".join(f"(said >= c{k})::INT" for k in range(1, PIECES))} AS bin, avg(said) AS x, avg(seen) AS y FROM tr JOIN cu USING (out) GROUP BY ALL),
+        pc AS (SELECT out, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS n FROM kn WINDOW w AS (PARTITION BY out ORDER BY x))
+        SELECT "group", day, fold, round(said, 4) AS said, round(seen, 4) AS seen, round(y + coalesce((greatest(x, least(said, coalesce(x2, x))) - x) * (y2 - y) / (x2 - x), 0), 4) AS calibrated FROM dd JOIN pc ON fold = out AND (n = 1 OR said >= x) AND (x2 IS NULL OR said < x2)"""),
     "drift_ranking": sql(f"""{_S}, n AS (SELECT "group", floor(pm25 / 50) AS bin, count(*) FILTER (h < 360) AS a, count(*) FILTER (h >= 360) AS b FROM q WHERE pm25 BETWEEN 0 AND 900 GROUP BY ALL),
         u AS (SELECT "group", (a + 0.5) / (sum(a) OVER w + 0.5)::DOUBLE AS p, (b + 0.5) / (sum(b) OVER w + 0.5)::DOUBLE AS k FROM n WINDOW w AS (PARTITION BY "group")) SELECT "group", round(sum((p - k) * ln(p / k)), 4) AS psi FROM u GROUP BY "group" ORDER BY psi DESC, "group" LIMIT 5"""),
     "climatology": sql(f"{_CLIM} SELECT season_out::INT AS season_out, doy::INT AS doy, n, round(mean + 1e-9, 2) AS mean, round(sd + 1e-9, 1) AS sd FROM cl"),
