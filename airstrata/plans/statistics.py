@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.exprs import rounded, season_year
 from ..operators import places, series
 from ..session import table
-from ..sources.tables import SIGNAL, daily, signal, sql, stations
+from ..sources.tables import SIGNAL, daily, readings, signal, sql, stations
 
 
 def _pairs(spark, sf_dir):
@@ -161,6 +161,29 @@ def fire_trends(spark, sf_dir):
     return rows.select("day", "season", "n", rounded(mean7).alias("mean7"), F.when(F.col("n").isNotNull(), F.sum("n").over(w)).alias("cumulative"), rounded(F.col("n") / total, 6).alias("share"))
 
 
+def rolling_month(spark, sf_dir):
+    """Each city's daily means on a full calendar, days of under two sites not known, with means of thirty days, ten at least."""
+    days = signal(spark, sf_dir).where("pm25 between 0 and 900").groupBy("group", F.col("hour").cast("date").alias("day")).agg(F.avg("pm25").alias("v"), F.count_distinct("station").alias("sites"))
+    days = days.withColumn("v", F.when((F.col("sites") >= 2) & ((F.dayofmonth("day") + F.col("group")) % 5 != 0), F.col("v")))
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    rows = days.select("group").distinct().join(F.broadcast(ends)).join(days, ["group", "day"], "left")  # a row a day
+    w = Window.partitionBy("group").orderBy("day").rowsBetween(-29, 0)
+    return rows.select("group", "day", rounded("v").alias("v"), rounded(F.when(F.count("v").over(w) >= 10, F.avg("v").over(w))).alias("mean30"))
+
+
+def network_comparison(spark, sf_dir):
+    """Two networks' city-days, joined by city and day, compared by month where five days or more have both."""
+    rows = readings(spark, sf_dir).where("pm25 is not null and qc <> 'INVALID'").join(stations(spark, sf_dir).select("station", "city", "provider"), "station")
+    first = F.col("provider").isin("BUILDING", "MACHINERY", "HOUSEHOLD")
+    mean = lambda c, name: rows.where(c).groupBy("city", F.col("ts").cast("date").alias("day")).agg(F.avg("pm25").alias(name))
+    both = mean(first, "a").join(mean(~first, "b"), ["city", "day"])
+    e = F.col("b") - F.col("a")
+    out = both.groupBy("city", F.date_format("day", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("n"), rounded(F.avg(F.abs(e))).alias("mae"), rounded(F.sqrt(F.avg(e * e))).alias("rmse"), rounded(F.avg(e)).alias("bias"), rounded(F.regr_r2("b", "a")).alias("r2"), rounded(F.avg("a")).alias("mean_a"), rounded(F.avg("b")).alias("mean_b"),
+    )
+    return out.where("n >= 5")
+
+
 def weekly_folds(spark, sf_dir):
     """Sums by week, null where a week has no known day, with means weighted by counts."""
     rows = signal(spark, sf_dir).withColumn("v", F.when((F.col("h") >= 168) | (F.col("station") % 4 != 0), F.col("pm25"))).withColumn("n", F.col("h") % 5 + 1)
@@ -231,7 +254,7 @@ def nearest_times(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        forecast_audit, correlations, pair_stats, bin_bias, calibrated, calibrated_pieces, drift_ranking, climatology, zscores, fire_trends, weekly_folds, monthly_quartiles, winter_maxima, hazard_exposure, path_matches, path_residence, nearest_times,
+        forecast_audit, correlations, pair_stats, bin_bias, calibrated, calibrated_pieces, drift_ranking, climatology, zscores, fire_trends, rolling_month, network_comparison, weekly_folds, monthly_quartiles, winter_maxima, hazard_exposure, path_matches, path_residence, nearest_times,
     )
 }
 
@@ -264,6 +287,12 @@ ORACLE = {
     "fire_trends": sql("""c AS (SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT day, CASE WHEN dayofyear(day) % 13 > 1 THEN n END AS n FROM c), k AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day),
         j AS (SELECT k.day, CASE WHEN month(k.day) >= 7 THEN year(k.day) ELSE year(k.day) - 1 END::INT AS season, n FROM k LEFT JOIN d USING (day))
         SELECT day, season, n, round(CASE WHEN n IS NOT NULL AND count(n) OVER w >= 5 THEN avg(n) OVER w END, 4) AS mean7, CASE WHEN n IS NOT NULL THEN sum(n) OVER (PARTITION BY season ORDER BY day) END::BIGINT AS cumulative, round(n / sum(n) OVER (PARTITION BY season) + 1e-9, 6) AS share FROM j WINDOW w AS (PARTITION BY season ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""),
+    "rolling_month": sql(f"""{_S}, c0 AS (SELECT "group", hour::DATE AS day, avg(pm25) AS v, count(DISTINCT station) AS sites FROM q WHERE pm25 BETWEEN 0 AND 900 GROUP BY ALL), d0 AS (SELECT "group", day, CASE WHEN sites >= 2 AND (day(day) + "group") % 5 <> 0 THEN v END AS v FROM c0),
+        k AS (SELECT "group", unnest(generate_series((SELECT min(day) FROM d0), (SELECT max(day) FROM d0), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT "group" FROM d0))
+        SELECT "group", day, round(v, 4) AS v, round(CASE WHEN count(v) OVER w >= 10 THEN avg(v) OVER w END, 4) AS mean30 FROM k LEFT JOIN d0 USING ("group", day) WINDOW w AS (PARTITION BY "group" ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""),
+    "network_comparison": sql("""x AS (SELECT city, ts::DATE AS day, provider IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AS one, pm25 FROM r JOIN s USING (station) WHERE pm25 IS NOT NULL AND qc <> 'INVALID'), y AS (SELECT city, day, avg(pm25) FILTER (one) AS a, avg(pm25) FILTER (NOT one) AS b FROM x GROUP BY ALL)
+        SELECT city, strftime(day, '%Y-%m') AS month, count(*) AS n, round(avg(abs(b - a)), 4) AS mae, round(sqrt(avg((b - a) * (b - a))), 4) AS rmse, round(avg(b - a), 4) AS bias, round(regr_r2(b, a), 4) AS r2, round(avg(a), 4) AS mean_a, round(avg(b), 4) AS mean_b
+        FROM y WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL HAVING count(*) >= 5"""),
     "weekly_folds": sql(f"""{_S}, z AS (SELECT station, date_trunc('week', hour)::TIMESTAMP AS week, CASE WHEN h >= 168 OR station % 4 <> 0 THEN pm25 END AS v, h % 5 + 1 AS k FROM q)
         SELECT station, week, round(sum(v) + 1e-9, 2) AS total, count(v) AS n, round(sum(v * k) / sum(k) FILTER (v IS NOT NULL), 4) AS weighted FROM z GROUP BY ALL"""),
     "monthly_quartiles": sql(f"""{_D} SELECT month(day)::INT AS month, round(quantile_cont(v, 0.25) + 1e-9, 2) AS p25, round(quantile_cont(v, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(v, 0.75) + 1e-9, 2) AS p75, round(quantile_cont(v, 0.95) + 1e-9, 2) AS p95, round(max(v) + 1e-9, 2) AS record, arg_min(day, (-v, day)) AS record_day,
