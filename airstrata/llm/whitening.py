@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import stage
+from .common import discard, stage
 
 SCALE, COMPONENTS = 256, 4
 #: Bits of a limb; sums of limbs of up to 2**33 tasks stay within 64 bits.
@@ -56,7 +56,9 @@ def fit_list(rows: DataFrame) -> DataFrame:
     """Each distinct vector of the commonest length once, written to the shared folder."""
     distinct = stage(rows.select("x").distinct(), "distinct-vectors")
     sizes = distinct.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), "size").first()  # a row a length
-    return distinct.where(F.size("x") == (sizes["size"] if sizes else 0))
+    fit = distinct.where(F.size("x") == (sizes["size"] if sizes else 0))
+    fit.staged_at = distinct.staged_at
+    return fit
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -177,8 +179,10 @@ def whitened(df: DataFrame, components: int = COMPONENTS, key: str = "vec_id", v
     fit = fit_list(rows)
     model = fitted(fit, components)
     if model is None or not len(model.values):
+        discard(fit)
         return df.sparkSession.createDataFrame([], f"{WHITENED}, identity_error double")
     error, width, k = identity_error(fit, model), len(model.sums), len(model.values)
+    discard(fit)  # the model is all that the result needs of it
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
