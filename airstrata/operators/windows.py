@@ -20,7 +20,7 @@ def running_sums(days: DataFrame, key: str, day: str, sums: dict[str, Column], k
 
 def over_windows(store: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str, sums: list[str]) -> DataFrame:
     """The windows (key, start, end: both included) with the sums over each, and the last known day in it. Days outside the
-    store count nothing; a window of a key that the store has not, or that ends before it starts, has null sums."""
+    store count nothing, nor does a key that it has not; a window that ends before it starts has null sums."""
     ends = store.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))  # one row
     inside = lambda c: F.greatest("_a", F.least("_b", c))
     rows = windows.join(F.broadcast(ends)).withColumn("_from", inside(F.date_sub(start, 1))).withColumn("_to", inside(F.col(end)))
@@ -29,4 +29,4 @@ def over_windows(store: DataFrame, windows: DataFrame, key: str, day: str, start
         rows = rows.join(at(c, tag), (F.col(key) == F.col(f"_k{tag}")) & (F.col(c) == F.col(f"_d{tag}")), "left")
     right = F.col(start) <= F.col(end)
     last = F.when(right & (F.col("_last2") >= F.col(start)), F.col("_last2"))
-    return rows.select(*windows.columns, *[F.when(right, F.col(f"_{s}2") - F.col(f"_{s}1")).alias(s) for s in sums], last.alias("last_day"))
+    return rows.select(*windows.columns, *[F.when(right, F.coalesce(F.col(f"_{s}2") - F.col(f"_{s}1"), F.lit(0))).alias(s) for s in sums], last.alias("last_day"))
