@@ -67,39 +67,60 @@ def close_pairs(points: DataFrame, key: str, km: float, same: list[str]) -> Data
     return pairs.select(*same, *ends, "km")
 
 
+def _dealt(points: DataFrame) -> DataFrame:
+    """The places (lat, lon) of points, dealt to as many tasks as shuffles have: places are few bytes and many pairs, so
+    tasks must not be put together by their bytes."""
+    return points.select("lat", "lon").distinct().repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lat", "lon")
+
+
+def places_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+    """(lat, lon, lat2, lon2, km): the places of points of `a` and `b` at most `km` apart, each pair of places once however
+    many points stand there; points come back by joins on their place."""
+    return within_radius(_dealt(a), b.select("lat2", "lon2").distinct(), km)
+
+
 def nearest(a: DataFrame, b: DataFrame, key: str, key2: str, km: float, k: int) -> DataFrame:
-    """The k nearest points of `b` within `km` of each point of `a`. Spark drops rows beyond the k-th within tasks,
-    before and after the shuffle, so that a key of many neighbours never fills a task."""
-    order = Window.partitionBy(key).orderBy("km", key2)
-    pairs = within_radius(a, b, km).select(key, key2, "km")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", key2, "km")
+    """(key, rank, key2, km): the k nearest points of `b` within `km` of each point of `a`; see `nearest_anywhere`."""
+    return nearest_anywhere(a, b, key, key2, k, most=km)
 
 
-def nearest_anywhere(a: DataFrame, b: DataFrame, key: str, key2: str, k: int, km: float | None = None) -> DataFrame:
-    """(key, rank, key2, km): the k nearest points of `b` (lat2, lon2) to each point of `a` (lat, lon), however far.
+def nearest_anywhere(a: DataFrame, b: DataFrame, key: str, key2: str, k: int, km: float | None = None, most: float | None = None) -> DataFrame:
+    """(key, rank, key2, km): the k nearest points of `b` (lat2, lon2) to each point of `a` (lat, lon), however far or
+    within `most` km.
 
-    The search goes by rings that double: a point meets the points of `b` within the ring's distance and is done once
-    these are k, since all others are further away. Only points that are not done go on, so where `b` is dense around all
-    of `a` one ring does; the last ring is the whole sphere. The first is as wide as k points of `b` need on average, over
-    the degrees that have any, or `km`. Points without a place have no neighbours; equal distances go by the least key2."""
+    The search goes by places, which points may share, and by rings that double: a place meets those of `b` within the
+    ring's distance and is done once these are k, since all others are further away. Only places that are not done go on,
+    so where `b` is dense around all of `a` one ring does; the last ring is the whole sphere or `most`. The first is as wide
+    as k places of `b` need on average, over the degrees that have any, or `km`. As each place holds a point, the k nearest
+    points are in the k nearest places, and of one place the k least keys alone can be among them. Points without a place
+    have no neighbours; equal distances go by the least key2."""
     points = b.select(key2, "lat2", "lon2").where("lat2 is not null and lon2 is not null")
-    n, degrees = points.agg(F.count("*"), F.count_distinct(F.floor("lat2"), F.floor("lon2"))).first()
-    left = staged(a.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct(), "not-done")
-    km, k, done = km or max(1.0, 111.0 * math.sqrt(max(degrees, 1) * k / (max(n, 1) * math.pi))), min(k, n), None
-    kind = nearest(left, points, key, key2, km, max(k, 1))
-    while k:
-        found = staged(nearest(left, points, key, key2, km, k), "nearest")
-        whole = found.where(F.col("rank") == k).select(key)
-        ended = found.join(whole, key, "left_semi")
+    of = a.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct()
+    to = staged(points.groupBy("lat2", "lon2").agg(F.min(key2).alias("_first")), "places")
+    n, degrees = to.agg(F.count("*"), F.count_distinct(F.floor("lat2"), F.floor("lon2"))).first()
+    left = staged(of.select("lat", "lon").distinct(), "not-done")
+    km, last = km or max(1.0, 111.0 * math.sqrt(max(degrees, 1) * k / (max(n, 1) * math.pi))), most or 20_038.0
+    # Spark drops rows beyond the k-th within tasks, so that a place of many neighbours never fills a task.
+    order = Window.partitionBy("lat", "lon").orderBy("km", "_first")
+    near = lambda km: within_radius(_dealt(left), to, km).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    done = None
+    while n:
+        found = staged(near(min(km, last)), "nearest")
+        whole = found.where(F.col("_rank") == min(k, n)).select("lat", "lon")
+        ended = found if km >= last else found.join(whole, ["lat", "lon"], "left_semi")
         done = ended if done is None else done.union(ended)
-        if km > 20_038:
+        if km >= last:
             break
-        before, left = left, staged(left.join(whole, key, "left_anti"), "not-done")
+        before, left = left, staged(left.join(whole, ["lat", "lon"], "left_anti"), "not-done")
         discard(before)
         if left.isEmpty():
             break
         km *= 2
-    return kind.limit(0) if done is None else done
+    done = near(km).limit(0) if done is None else done
+    firsts = points.withColumn("_n", F.row_number().over(Window.partitionBy("lat2", "lon2").orderBy(key2))).where(F.col("_n") <= k)
+    best = done.select("lat", "lon", "lat2", "lon2", "km").join(firsts, ["lat2", "lon2"])
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("km", key2))).where(F.col("rank") <= k)
+    return of.join(best.select("lat", "lon", "rank", key2, "km"), ["lat", "lon"]).select(key, "rank", key2, "km")
 
 
 def near_segments(points: DataFrame, segments: DataFrame, km: float, also: Column | None = None) -> DataFrame:

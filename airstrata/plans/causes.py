@@ -80,8 +80,9 @@ def decision_heads(spark, sf_dir):
     near = staged(places.nearest_anywhere(people, sites, "station", "site", 8), "nearest-sites")
     weight = 1 / F.pow(F.greatest("km", F.lit(0.001)), 2)
     surface = near.join(sites.select("site", "v"), "site").groupBy("station").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("h"), F.min("km").alias("km"))
-    kilns = places.within_radius(people, sites.where("kind = 'kiln'"), KILN_KM).groupBy("station").agg(F.count("*").alias("kilns"))
-    rows = people.join(surface, "station").join(kilns, "station", "left").withColumn("kilns", F.coalesce("kilns", F.lit(0)))
+    at = sites.where("kind = 'kiln'").groupBy("lat2", "lon2").agg(F.count("*").alias("c"))
+    kilns = places.places_within(people, at, KILN_KM).join(at, ["lat2", "lon2"]).groupBy("lat", "lon").agg(F.sum("c").alias("kilns"))
+    rows = people.join(surface, "station").join(kilns, ["lat", "lon"], "left").withColumn("kilns", F.coalesce("kilns", F.lit(0)))
     h, n = F.col("h"), F.col("people")
     out = rows.groupBy("city").agg(
         (CHILDREN * F.sum(F.when(h > SCHOOL, n).otherwise(0))).alias("children"), rounded(CHILDREN * F.sum(n * F.greatest(h - SCHOOL, F.lit(0.0))), 1).alias("child_burden"),

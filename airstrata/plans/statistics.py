@@ -208,10 +208,12 @@ def winter_maxima(spark, sf_dir):
 def hazard_exposure(spark, sf_dir):
     """A hazard surface from the eight nearest sites of every populated place, and by city the people above levels and the burden beyond 100."""
     sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (24 + (F.col("s_suppkey") * 41 % 1300) / 100.0).alias("lat2"), (61 + (F.col("s_suppkey") * 59 % 1600) / 100.0).alias("lon2"), (F.col("s_suppkey") * 17 % 300).cast("double").alias("v"))
-    near = places.nearest(stations(spark, sf_dir), sites, "station", "site", 400.0, 8).join(sites.select("site", "v"), "site")
+    people = stations(spark, sf_dir).select("lat", "lon", "city", (F.col("station") % 1000 + 1).alias("people"))
+    spots = people.select("lat", "lon").distinct().withColumn("place", F.struct("lat", "lon"))
+    near = places.nearest(spots, sites, "place", "site", 400.0, 8).join(sites.select("site", "v"), "site")
     weight = 1 / F.pow(F.greatest("km", F.lit(0.001)), 2)
-    surface = near.groupBy("station").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("hazard"), F.count("*").alias("sites"))
-    rows = surface.join(stations(spark, sf_dir).select("station", "city", (F.col("station") % 1000 + 1).alias("people")), "station")
+    surface = near.groupBy("place.lat", "place.lon").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("hazard"))
+    rows = people.join(surface, ["lat", "lon"])
     h, n = F.col("hazard"), F.col("people")
     return rows.groupBy("city").agg(F.sum(n).alias("people"), *[F.sum(F.when(h > x, n).otherwise(0)).alias(f"above_{x}") for x in (35, 55, 150)], rounded(F.sum(n * F.greatest(h - 100, F.lit(0.0))), 2).alias("burden"), rounded(F.sum(h * n) / F.sum(n)).alias("weighted"))
 
