@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import rounded, season_year
 from ..operators import places, series
-from ..session import table
+from ..session import staged, table
 from ..sources.tables import SIGNAL, daily, readings, signal, sql, stations
 
 
@@ -53,19 +53,18 @@ def pair_stats(spark, sf_dir):
 def bin_bias(spark, sf_dir):
     """Mean bias in ten bins of equal frequency by the observation's quantiles, of five pairs or more.
 
-    Quantiles are exact by counting: values are folded to their counts first, so no task holds all of them."""
-    pairs = _pairs(spark, sf_dir)
-    values = pairs.groupBy("seen").agg(F.count("*").alias("c"))
+    Quantiles are exact by counting: pairs are folded to one row for each observed value, with its count and sum of errors,
+    and all that follows is on these; no task holds all pairs and none meet them in a join."""
+    values = _pairs(spark, sf_dir).groupBy("seen").agg(F.count("*").alias("c"), F.sum(F.col("said") - F.col("seen")).alias("e"))
     parts = values.withColumn("part", F.floor(F.col("seen") / 10))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each ten units of the scale
     sums = parts.groupBy("part").agg(F.sum("c").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0)))
     upto = F.sum("c").over(Window.partitionBy("part").orderBy("seen").rowsBetween(Window.unboundedPreceding, 0))
-    total = pairs.agg(F.count("*").alias("total"))
-    ranked = parts.join(sums.select("part", "base"), "part").select("seen", "c", (F.col("base") + upto).alias("upto")).crossJoin(F.broadcast(total))  # one row
+    total = values.agg(F.sum("c").alias("total"))
+    ranked = parts.join(sums.select("part", "base"), "part").select("seen", "c", "e", (F.col("base") + upto).alias("upto")).crossJoin(F.broadcast(total))  # one row
     # A value is in the bin of its first rank, so that equal values share a bin.
-    bins = ranked.select("seen", F.floor((F.col("upto") - F.col("c")) * 10 / F.col("total")).alias("bin"))
-    rows = pairs.join(bins, "seen").groupBy("bin")
-    return rows.agg(F.count("*").alias("n"), F.min("seen").alias("low"), F.max("seen").alias("high"), rounded(F.avg(F.col("said") - F.col("seen"))).alias("bias")).where("n >= 5")
+    rows = ranked.groupBy(F.floor((F.col("upto") - F.col("c")) * 10 / F.col("total")).alias("bin"))
+    return rows.agg(F.sum("c").alias("n"), F.min("seen").alias("low"), F.max("seen").alias("high"), rounded(F.sum("e") / F.sum("c")).alias("bias")).where("n >= 5")
 
 
 def calibrated(spark, sf_dir):
@@ -74,7 +73,8 @@ def calibrated(spark, sf_dir):
     from pyspark.ml.regression import IsotonicRegression
 
     days = _pairs(spark, sf_dir).groupBy("group", F.col("hour").cast("date").alias("day")).agg(F.avg("said").alias("said"), F.avg("seen").alias("seen"))
-    days = VectorAssembler(inputCols=["said"], outputCol="features").transform(days.withColumn("fold", F.pmod(F.xxhash64("day"), F.lit(5)).cast("int")))
+    days = staged(days.withColumn("fold", F.pmod(F.xxhash64("day"), F.lit(5)).cast("int")), "forecast-days")  # fits read these few rows, not the hours
+    days = VectorAssembler(inputCols=["said"], outputCol="features").transform(days)
     out = None
     for fold in range(5):
         fit = IsotonicRegression(featuresCol="features", labelCol="seen", predictionCol="calibrated").fit(days.where(F.col("fold") != fold))
