@@ -60,8 +60,12 @@ def sql(body: str) -> str:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A test signal: 720 hours of each site, with plateaus of one to thirty hours, jumps, sentinels and missing hours."""
+    """A test signal: 720 hours of each site, with plateaus of one to thirty hours, jumps, sentinels and missing hours.
+
+    Sites are dealt before their hours are made, a thousand to a task at most on average: windows by site then need no
+    exchange of hours, and what one task sorts does not grow with the sites."""
     sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("group"))
+    sites = sites.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sites.count() // 1000)), "station")
     rows = sites.withColumn("h", F.explode(F.expr("sequence(0L, 719L)")))
     step = F.floor(F.col("h") / (1 + F.col("station") % 30))
     base = ((F.col("station") * 7919 + step * 104729) % 400).cast("double")
