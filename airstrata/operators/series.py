@@ -36,6 +36,14 @@ def hourly(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return df.groupBy(key, hour_of(F.col(ts)).alias("hour")).agg(F.avg(value).alias(value), F.count(value).alias("n"))
 
 
+def mean_in_order(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Means of each key from sums taken in the given order, for means that are held against limits: the last bit of a
+    sum depends on its order, and `avg` adds up tasks' sums as they come. Running sums spill; no task holds a key's values."""
+    own = Window.partitionBy(*keys).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.select(*keys, F.sum(value).over(own).alias("_sum"), F.count(value).over(own).alias("_n"), F.count("*").over(own).alias("_at"))
+    return sums.groupBy(*keys).agg(F.max_by(F.try_divide("_sum", "_n"), "_at").alias(name))
+
+
 def spine(df: DataFrame, key: str, start: str, end: str, step: str = "1 hour", name: str = "hour") -> DataFrame:
     """Every key with every step from start to end, inclusive."""
     steps = F.explode(F.expr(f"sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', interval {step})"))

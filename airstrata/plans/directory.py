@@ -82,12 +82,15 @@ _SCOPES = {
 
 
 def snapshot(spark, sf_dir):
-    """One day of the past: the national mean, counts by band, and the mean of the three days to each side."""
+    """One day of the past: the national mean, counts by band, and the mean of the three days to each side.
+
+    A station's mean may lie on a band's limit, so its readings are added up in their order."""
     day = F.to_date(F.lit("2024-01-15"))
-    rows = _good(spark, sf_dir).withColumn("day", F.col("ts").cast("date")).where(F.col("day").between(F.date_sub(day, 3), F.date_add(day, 3)))
-    means = rows.groupBy("station", "day").agg(F.avg("pm25").alias("v"))
+    rows = readings(spark, sf_dir, "event_id").where("qc <> 'INVALID'").withColumn("day", F.col("ts").cast("date")).where(F.col("day").between(F.date_sub(day, 3), F.date_add(day, 3)))
+    means = series.mean_in_order(rows, ["station", "day"], ["event_id"], "pm25", "v")
     own = F.when(F.col("day") == day, F.col("v"))
-    cut = [F.count_if((own > a) & (own <= b)).alias(f"band_{i}") for i, (a, b) in enumerate(((-1, 9), (9, 35.4), (35.4, 55.4), (55.4, 125.4), (125.4, 225.4), (225.4, 1e9)))]
+    limits = (-1, 9, 35.4, 55.4, 125.4, 225.4)
+    cut = [F.count_if((own > a) & (own <= b) if b else own > a).alias(f"band_{i}") for i, (a, b) in enumerate(zip(limits, (*limits[1:], None)))]
     return means.agg(rounded(F.avg(own)).alias("mean"), F.count(own).alias("stations"), *cut, rounded(F.avg(F.when(F.col("day") != day, F.col("v")))).alias("around"))
 
 

@@ -10,9 +10,9 @@ from ..session import table
 AS_OF = "2024-01-31 00:00:00"
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     qc = F.when(F.col("event_type") == "error", "INVALID").when(F.col("event_type") == "signup", "SUSPECT").otherwise("OK")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), "ts", F.col("value").alias("pm25"), F.col("event_type").alias("source"), qc.alias("qc"), "props")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), "ts", F.col("value").alias("pm25"), F.col("event_type").alias("source"), qc.alias("qc"), "props", *also)
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
