@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -235,6 +236,46 @@ def test_decoded_texts_find_a_free_name(spark):
     assert rows.columns[-1] == "text_" and {r.text for r in rows.collect()} == {"own"}
 
 
+def samples_of(vocabulary, texts, k=2):
+    """Ids, log-probability and perturbed value of each path, and the thresholds."""
+    search = segmentations.Search(vocabulary, texts, list(range(1, len(texts) + 1)), k)
+    return [([(vocabulary.spelled(search.lattices.code[e])[0].tolist(), p, v) for e, p, v in paths], t) for paths, t in search.paths()]
+
+
+def test_lattices_are_built_once_for_units_that_come_again(spark, monkeypatch):
+    """op2 of the third round: lattices were built anew for each slice. Kept ones, a bound of them, and hashes that
+    units share give the rows that lattices of their own give."""
+    texts = [r.text or "" for r in documents(spark, SF).limit(40).collect()] + ["", " ", "\n", " \n  a\n", "x" * 300, "ab\u2581\u2581c \U0001f642", "the cat  the cat "]
+    path = public_tokenizers.path(segmentations.VOCABULARY)
+    vocabulary = segmentations.Vocabulary(path)
+    want = samples_of(vocabulary, texts)
+    n_edges = vocabulary.lattices.n_edges
+    assert samples_of(vocabulary, texts) == want and vocabulary.lattices.n_edges == n_edges > 0
+    singly = [samples_of(segmentations.Vocabulary(path), [""] * i + [t])[-1] for i, t in enumerate(texts) if i > 38]
+    for (a, t), (b, u) in zip(singly, want[39:]):
+        assert [x[0] for x in a] == [x[0] for x in b] and t == pytest.approx(u) and [x[1:] for x in a] == [pytest.approx(x[1:]) for x in b]
+    for _ in range(3):
+        samples_of(vocabulary, texts[40:])
+    monkeypatch.setattr(segmentations, "_EDGES", n_edges // 2)
+    vocabulary.lattices = vocabulary.lattices.kept()
+    assert 0 < vocabulary.lattices.n_edges <= n_edges // 4
+    assert samples_of(vocabulary, texts) == want
+    hashed = segmentations.Lattices.hashed
+    monkeypatch.setattr(segmentations.Lattices, "hashed", lambda self, *x: hashed(self, *x) % np.uint64(2**64 - 1 if self.seed else 16))
+    vocabulary.lattices = segmentations.Lattices(vocabulary)
+    assert samples_of(vocabulary, texts) == want and vocabulary.lattices.seed == 1
+
+
+def test_ids_that_are_no_text_decode_as_before():
+    vocabulary = segmentations.Vocabulary(public_tokenizers.path(segmentations.VOCABULARY))
+    raw, rng = vocabulary.raw, np.random.default_rng(3)
+    lists = [None, b"", *(rng.integers(0, len(raw), n).astype("<u2").tobytes() for n in (0, 1, 5, 9, 40)), np.array([vocabulary.bytes[0xC3]], "<u2").tobytes()]
+    want = [x if x is None else b"".join(raw[i] for i in np.frombuffer(x, "<u2").tolist()).decode(errors="replace").removeprefix(" ") for x in lists]
+    ids = pa.array(lists, pa.binary())
+    for a, b in ((0, 8), (0, 2), (3, 6), (1, 1)):
+        assert segmentations.texts_of(pa.array(raw, pa.binary()), ids[a:b]).to_pylist() == want[a:b]
+
+
 def test_inclusion_scores_estimate_sums_without_bias():
     vocabulary = segmentations.Vocabulary(public_tokenizers.path(segmentations.VOCABULARY))
     n, total = 3000, 0.0
