@@ -26,6 +26,20 @@ def rounded(x: Column, digits: int = 4) -> Column:
     return F.round(x + F.lit(1e-9), digits) if not isinstance(x, str) else F.round(F.col(x) + F.lit(1e-9), digits)
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean of a group from its exact sum, rounded once, for means that are held against limits: `avg` adds up as rows and
+    tasks' sums come, and on a limit the last bit decides. A value is three whole numbers, to 2**-64, whose sums have no
+    order; groups with values of 2**33 or more, infinite ones or NaN have `avg`."""
+    small = F.abs(x) < 2**33
+    parts, rest = [], F.when(small, x.cast("double"))
+    for _ in range(3):
+        parts.append(F.sum(rest.cast("long")).cast("decimal(38,0)"))
+        rest = (rest - rest.cast("long").cast("double")) * 2.0**32
+    step = F.lit(2**32).cast("decimal(10,0)")
+    total = reduce(lambda total, part: F.try_add(F.try_multiply(total, step), part), parts[1:], parts[0])
+    return F.coalesce(F.when(F.bool_and(small), F.try_divide(total.cast("double") * 2.0**-64, F.count(x))), F.avg(x))
+
+
 def index_of(x: Column, points: list[tuple], digits: int = 1) -> Column:
     """Piecewise linear index of a truncated concentration, half-even; above the table the last segment goes on."""
     c = truncated(x, digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import category, index_of, local_day, rounded
+from ..functions.exprs import category, exact_mean, index_of, local_day, rounded
 from ..operators import places, series
 from ..sources.tables import AS_OF, readings, sql, stations
 from .observations import _CATEGORY, _index_sql, _points
@@ -112,11 +112,11 @@ def city_hourly_spine(spark, sf_dir):
 
 
 def station_overview(spark, sf_dir):
-    """Availability and means over one, seven and thirty days, and days above a limit."""
+    """Availability and means over one, seven and thirty days, and days above a limit, on which a day's mean may lie."""
     rows = _good(spark, sf_dir).where((F.col("ts") > _at(720)) & (F.col("ts") <= _at(0)))
-    hours = rows.groupBy("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.avg("pm25").alias("v"))
+    hours = rows.groupBy("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(exact_mean(F.col("pm25")).alias("v"))
     within = lambda h: F.col("hour") > _at(h)
-    days = hours.groupBy("station", F.col("hour").cast("date").alias("day")).agg(F.avg("v").alias("d")).groupBy("station").agg(F.count_if(F.col("d") > 35).alias("days_above"), F.count("*").alias("days"))
+    days = hours.groupBy("station", F.col("hour").cast("date").alias("day")).agg(exact_mean(F.col("v")).alias("d")).groupBy("station").agg(F.count_if(F.col("d") > 35).alias("days_above"), F.count("*").alias("days"))
     out = hours.groupBy("station").agg(*[rounded(F.avg(F.when(within(h), F.col("v")))).alias(f"mean_{n}") for h, n in ((24, "1d"), (168, "7d"), (720, "30d"))], rounded(F.count("*") / 720).alias("availability"))
     return out.join(days, "station")
 
